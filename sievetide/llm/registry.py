@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_counts
+from . import audio, line_dedup, mixing, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_poisson_mix": mixing.op3_poisson_mix,
+    "op5_audio_features": audio.op5_audio_features,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_length_buckets": packing.op8_length_buckets,
+    "op10_line_winnow": line_dedup.op10_line_winnow,
 }
 
 ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.mix_sql(),
     "op8_length_buckets": packing.pack_sql(),
+    "op10_line_winnow": line_dedup.dedup_sql(),
 }
