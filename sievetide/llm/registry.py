@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, line_dedup, mixing, packing, quality, token_counts
+from . import audio, line_dedup, mixing, near_dup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_poisson_mix": mixing.op3_poisson_mix,
     "op5_audio_features": audio.op5_audio_features,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_bagminhash": near_dup.op7_bagminhash,
     "op8_length_buckets": packing.op8_length_buckets,
     "op10_line_winnow": line_dedup.op10_line_winnow,
 }
