@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, line_dedup, mixing, near_dup, packing, quality, token_counts
+from . import audio, context_mix, line_dedup, mixing, near_dup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_bagminhash": near_dup.op7_bagminhash,
     "op8_length_buckets": packing.op8_length_buckets,
+    "op9_context_mixing": context_mix.op9_context_mixing,
     "op10_line_winnow": line_dedup.op10_line_winnow,
 }
 
