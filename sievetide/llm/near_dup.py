@@ -7,8 +7,9 @@ point, so two multisets agree in a register with a probability of exactly their
 Points of a process come in ascending order and end when they exceed all registers of the text.
 
 Registers form bands; texts that share a band meet in a bucket. Every member is verified against the bucket's
-least member, then, in the buckets whose members are not all linked by then, against the members of other
-components: linear where copies agree, exact for the rest. Verification counts the shared shingles of whole texts.
+least member. While buckets hold members of several components, one member of each is verified against those of
+other components, and when that has joined what it can, all pairs of different components left: linear where copies
+agree, exact for the rest. Verification counts the shared shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
-BLOCK, DRAWS, MEMO = 300_000, 400_000, 200_000
+BLOCK, DRAWS, MEMO = 150_000, 400_000, 200_000
+#: Pairs that are verified at once, however many rows the buckets have.
+FEW_PAIRS = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,15 +216,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = _verified(pairs, texts, similarity)
     labels = components(links)
     # Buckets whose members are not of one component yet: what the least member doesn't link may be linked otherwise.
-    members = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
-    members = members.join(open_, "band", "left_semi").filter("node != leader").select("band", "node", "size", "label")
-    other = members.toDF("band", "node_b", "size_b", "label_b")
-    rest = members.join(other, "band").filter((F.col("label") < F.col("label_b")) & near(F.col("size"), F.col("size_b")))
-    rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(pairs), ["a", "b"], "left_anti")
-    more = _verified(checkpointed(rest), texts, similarity)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    idle, turn = 0, 0
+    while True:
+        members = met.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+        split = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
+        members = checkpointed(members.join(split, "band", "left_semi"))
+        sums = members.groupBy("band", "label").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        n, apart = sums.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not n:
+            break
+        last = apart <= max(n, FEW_PAIRS) or idle == 2
+        if last:  # all pairs of different components that share a bucket
+            other = members.toDF("band", "node_b", "size_b", "label_b")
+            rest = members.join(other, "band").filter((F.col("label") < F.col("label_b")) & near(F.col("size"), F.col("size_b")))
+        else:  # one member of each bucket, in an order that buckets share, against those of other components
+            turn += 1
+            pivot = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+            other = members.groupBy("band").agg(F.min(pivot).alias("p")).select("band", "p.node_b", "p.size_b", "p.label_b")
+            rest = members.join(other, "band").filter((F.col("label") != F.col("label_b")) & near(F.col("size"), F.col("size_b")))
+        more = _verified(checkpointed(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()), texts, similarity)
+        found = not more.isEmpty()
+        idle = 0 if found else idle + 1
+        if found:
+            links = links.unionByName(more)
+            labels = components(links)
+        if last:
+            break
     return signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 
