@@ -7,9 +7,10 @@ point, so two multisets agree in a register with a probability of exactly their
 Points of a process come in ascending order and end when they exceed all registers of the text.
 
 Registers form bands; texts that share a band meet in a bucket. Every member is verified against the bucket's
-least member. While buckets hold members of several components, one member of each is verified against those of
-other components, and when that has joined what it can, all pairs of different components left: linear where copies
-agree, exact for the rest. Verification counts the shared shingles of whole texts.
+least member, then, as long as that links many, against one more member of its bucket. The texts in buckets that still
+hold several components go through an exact join: two of them can be similar enough only if they share one of
+their rarest shingles, a fifth of each text's. So common passages bring no pairs, and of the pairs of one component
+none is looked at again. Verification counts the shared shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
 BLOCK, DRAWS, MEMO = 150_000, 400_000, 200_000
-#: Pairs that are verified at once, however many rows the buckets have.
-FEW_PAIRS = 100_000
+#: Another member of each bucket is tried as long as one in so many tries makes a link.
+WORTH = 100
+#: Cells of the table that orders shingles by how many texts have them.
+CELLS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,6 +177,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return checkpointed(joined.mapInArrow(of, "a binary, b binary"))
 
 
+def elements(text: str) -> np.ndarray:
+    """The shingles of a text as a set: a shingle's second, third ... time is an element of its own."""
+    h = np.sort(shingle_hashes(text))
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    time = np.arange(len(h)) - np.repeat(start, np.diff(np.concatenate([start, [len(h)]])))
+    return mixed(h + time.astype(np.uint64) * GOLDEN)
+
+
+def _sharing(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, label) with different labels that can be similar enough: by prefix filtering.
+
+    Elements are ordered by the number of texts in their cell of a table, then by hash; any order that is the same for all
+    texts would do. Of a text with n elements the first n - ceil(similarity * n) + 1 are its prefix; two similar
+    texts share an element of their prefixes. From the first one that they share on, both must have as many elements as
+    such a pair has in common. What one text alone has is left out.
+    """
+    own = checkpointed(texts.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(sums, (elements(text) >> np.uint64(44)).astype(np.int64), np.int64(1))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
+
+    cells = own.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int64)
+    table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out, places = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                e = elements(text)
+                times = shared.value[(e >> np.uint64(44)).astype(np.int64)]
+                first = np.lexsort((e, times))[: len(e) - int(np.ceil(similarity * len(e) - 1e-9)) + 1]
+                place = np.flatnonzero(times[first] > 1)
+                first = first[place]
+                places.append(place)
+                at.append(np.full(len(first), i))
+                out.append(e[first])
+            picked = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(picked) for c in ("node", "size", "label")), pa.array((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64)), pa.array(np.concatenate(places) if places else np.zeros(0, np.int64))], ["node", "size", "label", "element", "place"])
+
+    rows = checkpointed(own.select("node", "size", "label", "text").mapInArrow(prefix, "node binary, size long, label binary, element long, place long"))
+    mixed_ = rows.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("element")
+    rows = rows.join(mixed_, "element", "left_semi")
+    other = rows.select("element", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "place")])
+    common = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_b")) - F.lit(1e-6)
+    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    met = (rows["element"] == other["element"]) & (F.col("label") < F.col("label_b")) & (left >= common)
+    return checkpointed(rows.join(other, met).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: each node of edges (a, b) with the least node of its component.
 
@@ -216,32 +275,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = _verified(pairs, texts, similarity)
     labels = components(links)
     # Buckets whose members are not of one component yet: what the least member doesn't link may be linked otherwise.
-    idle, turn = 0, 0
+    turn = 0
     while True:
         members = met.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
         split = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
         members = checkpointed(members.join(split, "band", "left_semi"))
-        sums = members.groupBy("band", "label").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        n, apart = sums.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not n:
-            break
-        last = apart <= max(n, FEW_PAIRS) or idle == 2
-        if last:  # all pairs of different components that share a bucket
-            other = members.toDF("band", "node_b", "size_b", "label_b")
-            rest = members.join(other, "band").filter((F.col("label") < F.col("label_b")) & near(F.col("size"), F.col("size_b")))
-        else:  # one member of each bucket, in an order that buckets share, against those of other components
-            turn += 1
-            pivot = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-            other = members.groupBy("band").agg(F.min(pivot).alias("p")).select("band", "p.node_b", "p.size_b", "p.label_b")
-            rest = members.join(other, "band").filter((F.col("label") != F.col("label_b")) & near(F.col("size"), F.col("size_b")))
-        more = _verified(checkpointed(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()), texts, similarity)
-        found = not more.isEmpty()
-        idle = 0 if found else idle + 1
-        if found:
+        turn += 1
+        pivot = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+        other = members.groupBy("band").agg(F.min(pivot).alias("p")).select("band", "p.node_b", "p.size_b", "p.label_b")
+        tried = members.join(other, "band").filter((F.col("label") != F.col("label_b")) & near(F.col("size"), F.col("size_b")))
+        tried = checkpointed(tried.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+        more = _verified(tried, texts, similarity)
+        n_tried, n_more = tried.count(), more.count()
+        if n_more:
             links = links.unionByName(more)
             labels = components(links)
-        if last:
+        if n_more * WORTH <= n_tried:
             break
+    rest = members.select("node", "size").distinct().join(labels, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"))
+    more = _verified(_sharing(rest, texts, similarity), texts, similarity)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     return signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 
