@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, context_mix, line_dedup, mixing, near_dup, packing, quality, token_counts
+from . import audio, context_mix, line_dedup, mixing, near_dup, packing, pseudonyms, quality, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_secret_forest": secret_scan.op2_secret_forest,
     "op3_poisson_mix": mixing.op3_poisson_mix,
+    "op4_feistel_pseudonyms": pseudonyms.op4_feistel_pseudonyms,
     "op5_audio_features": audio.op5_audio_features,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_bagminhash": near_dup.op7_bagminhash,
