@@ -55,3 +55,10 @@ def hash_u32(text: Column) -> Column:
 def hash_unit(text: Column) -> Column:
     """A number strictly between 0 and 1, from 52 bits of the text's MD5."""
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def sliced(batches, rows: int = 500):
+    """Arrow batches in slices, so that a worker turns few long texts into Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, checkpointed, key_text, read_table
+from .common import WORD, checkpointed, key_text, read_table, sliced
 
 WORDS = re.compile(WORD)
 SHINGLE = 5
@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
-BLOCK, DRAWS, MEMO = 150_000, 400_000, 200_000
+BLOCK, DRAWS, MEMO = 100_000, 200_000, 100_000
 #: Another member of each bucket is tried as long as one in so many tries makes a link.
 WORTH = 100
 #: Cells of the table that orders shingles by how many texts have them.
@@ -123,7 +123,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, node, size, bands of docs (doc_id, node, text); size is the number of shingles."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             start = 0
             while start < len(texts):
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             hit = [overlap(x, y, memo) >= similarity for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             out = batch.select(["a", "b"])
             yield out.filter(pa.array(hit, pa.bool_()))
@@ -197,7 +197,7 @@ def _sharing(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 np.add.at(sums, (elements(text) >> np.uint64(44)).astype(np.int64), np.int64(1))
         at = np.flatnonzero(sums)
@@ -209,7 +209,7 @@ def _sharing(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     shared = nodes.sparkSession.sparkContext.broadcast(table)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, out, places = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 e = elements(text)
