@@ -37,7 +37,7 @@ SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
 BLOCK, DRAWS, MEMO = 100_000, 200_000, 100_000
 #: Another member of each bucket is tried as long as one in so many tries makes a link.
-WORTH = 100
+WORTH = 40
 #: Cells of the table that orders shingles by how many texts have them.
 CELLS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -163,8 +163,8 @@ def overlap(a: str, b: str, memo: dict[str, Counter] | None = None) -> float:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (node, text; one row a node) are similar enough, written to the checkpoint folder."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = checkpointed(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = checkpointed(texts.join(needed, "node", "left_semi"))
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _sharing(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     texts share an element of their prefixes. From the first one that they share on, both must have as many elements as
     such a pair has in common. What one text alone has is left out.
     """
-    own = checkpointed(texts.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node"))
+    own = checkpointed(texts.join(nodes, "node"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS, np.int64)
@@ -270,8 +270,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.min_by("size", "node").alias("leader_size"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = checkpointed(banded.join(buckets, "band"))
     near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    texts = keyed.select("node", "text")
+    # The one pass that moves texts of the whole table; later ones move those of buckets with several members.
+    texts = keyed.select("node", "text").join(met.select("node").distinct(), "node", "left_semi")
+    texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")))
     pairs = met.filter((F.col("node") != F.col("leader")) & near(F.col("size"), F.col("leader_size"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = checkpointed(pairs)
     links = _verified(pairs, texts, similarity)
     labels = components(links)
     # Buckets whose members are not of one component yet: what the least member doesn't link may be linked otherwise.
