@@ -6,9 +6,8 @@ on one step of its interval; it counts if the step lies below the shingle's weig
 point, so two multisets agree in a register with a probability of exactly their weighted Jaccard similarity.
 Points of a process come in ascending order and end when they exceed all registers of the text.
 
-Registers form bands; texts that share a band meet in a bucket. Every member is verified against the bucket's
-least member, then, as long as that links many, against one more member of its bucket. The texts in buckets that still
-hold several components go through an exact join: two of them can be similar enough only if they share one of
+Registers form bands; texts that share a band meet in a bucket. Every member is verified against one member of the
+bucket, in large buckets against three. The texts in buckets that then still hold several components go through an exact join: two of them can be similar enough only if they share one of
 their rarest shingles, a fifth of each text's. So common passages bring no pairs, and of the pairs of one component
 none is looked at again. Verification counts the shared shingles of whole texts.
 """
@@ -18,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, checkpointed, key_text, read_table, sliced
+from .common import WORD, arrow_rows, checkpointed, key_text, read_table, sliced
 
 WORDS = re.compile(WORD)
 SHINGLE = 5
@@ -36,8 +36,8 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
 BLOCK, DRAWS, MEMO = 100_000, 200_000, 100_000
-#: Another member of each bucket is tried as long as one in so many tries makes a link.
-WORTH = 40
+#: Members that the others of a bucket are held against, all of them in buckets of at least CROWD.
+PIVOTS, CROWD = 3, 8
 #: Cells of the table that orders shingles by how many texts have them.
 CELLS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = checkpointed(small.filter("a != b").distinct())
@@ -262,41 +262,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     share a node whatever their doc_ids, null ones included. Other columns are ignored; an empty table gives an
     empty one. The bands can miss a pair at the very limit with a probability of 6e-5; see BANDS.
     """
+    with arrow_rows(docs.sparkSession, 1000):
+        return _labelled(docs, similarity)
+
+
+def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("node", F.unhex(F.md5("text")))
     signed = checkpointed(_signed(keyed))
     nodes = signed.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.min_by("size", "node").alias("leader_size"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # The members that others are held against: the least in each of several orders, which buckets share.
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "size")).alias(f"p{k}") for k in range(PIVOTS)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), *least).filter("n > 1")
     met = checkpointed(banded.join(buckets, "band"))
     near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
     # The one pass that moves texts of the whole table; later ones move those of buckets with several members.
     texts = keyed.select("node", "text").join(met.select("node").distinct(), "node", "left_semi")
     texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")))
-    pairs = met.filter((F.col("node") != F.col("leader")) & near(F.col("size"), F.col("leader_size"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    links = _verified(pairs, texts, similarity)
+
+    def against(k: int) -> DataFrame:
+        b, size = F.col(f"p{k}.node"), F.col(f"p{k}.size")
+        own = (F.col("node") != b) & near(F.col("size"), size)
+        # A small bucket has one such member; whatever that leaves apart is joined below.
+        return met.filter(own if k == 0 else own & (F.col("n") >= CROWD)).select(F.greatest("node", b).alias("a"), F.least("node", b).alias("b"))
+
+    pairs = reduce(DataFrame.unionAll, map(against, range(PIVOTS))).distinct()
+    links = _verified(checkpointed(pairs), texts, similarity)
     labels = components(links)
-    # Buckets whose members are not of one component yet: what the least member doesn't link may be linked otherwise.
-    turn = 0
-    while True:
-        members = met.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-        split = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
-        members = checkpointed(members.join(split, "band", "left_semi"))
-        turn += 1
-        pivot = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        other = members.groupBy("band").agg(F.min(pivot).alias("p")).select("band", "p.node_b", "p.size_b", "p.label_b")
-        tried = members.join(other, "band").filter((F.col("label") != F.col("label_b")) & near(F.col("size"), F.col("size_b")))
-        tried = checkpointed(tried.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
-        more = _verified(tried, texts, similarity)
-        n_tried, n_more = tried.count(), more.count()
-        if n_more:
-            links = links.unionByName(more)
-            labels = components(links)
-        if n_more * WORTH <= n_tried:
-            break
-    rest = members.select("node", "size").distinct().join(labels, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"))
-    more = _verified(_sharing(rest, texts, similarity), texts, similarity)
+    # Buckets whose members are not of one component yet: what those members don't link may be linked otherwise.
+    members = met.select("band", "node", "size").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+    split = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
+    rest = members.join(split, "band", "left_semi").select("node", "size", "label").distinct()
+    more = _verified(_sharing(checkpointed(rest), texts, similarity), texts, similarity)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
