@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, decisions, texts, work
+from . import base, decisions, more, texts, work
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "base", "decisions", "texts", "work"]
+__all__ = ["ORACLES", "QUERIES", "base", "decisions", "more", "texts", "work"]

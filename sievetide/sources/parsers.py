@@ -149,3 +149,58 @@ def flatten_attachments(mails: DataFrame, supported: tuple[str, ...]) -> DataFra
     ext = F.lower(F.regexp_extract("filename", r"(\.[A-Za-z0-9]+)$", 1))
     rule = F.when(protected(F.col("content")), "password").when(ext == ".zip", F.when(zip_state("content") == "corrupt", "zip_error")).when(~ext.isin(*supported), "unsupported_type")
     return a.withColumn("ext", ext).withColumn("rule", rule)
+
+
+def _xml(z: zipfile.ZipFile, name: str) -> str:
+    return z.read(name).decode("utf-8", "replace") if name in z.namelist() else ""
+
+
+def _unescape(s: str) -> str:
+    import html
+
+    return html.unescape(re.sub(r"<[^>]*>", "", s))
+
+
+@F.pandas_udf(StringType())
+def docx_text(content: pd.Series) -> pd.Series:
+    """The paragraphs of a DOCX, a line each; empty for what can't be read."""
+
+    def one(raw: bytes | None) -> str:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(raw or b""))) as z:
+                body = _xml(z, "word/document.xml")
+        except (zipfile.BadZipFile, ValueError, RuntimeError):
+            return ""
+        return "\n".join(_unescape("".join(re.findall(r"<w:t[ >][^<]*</w:t>|<w:t>[^<]*</w:t>", p))) for p in re.findall(r"(?s)<w:p[ >].*?</w:p>", body))
+
+    return content.map(one)
+
+
+def workbook_cells(contents: DataFrame) -> DataFrame:
+    """contents (path, content) of .xlsx files as cells: shared, inline and formula strings, and numbers as they are written. Unreadable files give no row."""
+
+    def cells(path: str, raw: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            shared = [_unescape("".join(re.findall(r"(?s)<t[^>]*>(.*?)</t>", si))) for si in re.findall(r"(?s)<si>(.*?)</si>", _xml(z, "xl/sharedStrings.xml"))]
+            for sheet in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+                for attrs, body in re.findall(r"(?s)<c ([^>]*?)(?:/>|>(.*?)</c>)", _xml(z, sheet)):
+                    ref, kind = re.search(r'r="([A-Z]+)(\d+)"', attrs), re.search(r't="(\w+)"', attrs)
+                    v, inline = re.search(r"(?s)<v>(.*?)</v>", body), re.findall(r"(?s)<t[^>]*>(.*?)</t>", body)
+                    value = shared[int(v[1])] if v and kind and kind[1] == "s" else _unescape(v[1]) if v else _unescape("".join(inline))
+                    if ref and value:
+                        col = 0
+                        for c in ref[1]:
+                            col = col * 26 + ord(c) - 64
+                        yield path, sheet.rsplit("/", 1)[1], int(ref[2]), col, value
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = list(cells(path, bytes(raw))) if raw is not None else []
+                except (zipfile.BadZipFile, ValueError, IndexError, RuntimeError):
+                    rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value"])
+
+    return contents.select("path", "content").mapInPandas(of, "path string, sheet string, row int, col int, value string")
