@@ -278,8 +278,9 @@ def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     met = checkpointed(banded.join(buckets, "band"))
     near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
     # The one pass that moves texts of the whole table; later ones move those of buckets with several members.
-    texts = keyed.select("node", "text").join(met.select("node").distinct(), "node", "left_semi")
-    texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")))
+    # Copies are combined before the shuffle.
+    texts = keyed.groupBy("node").agg(F.first("text").alias("text"))
+    texts = checkpointed(texts.join(met.select("node").distinct(), "node", "left_semi"))
 
     def against(k: int) -> DataFrame:
         b, size = F.col(f"p{k}.node"), F.col(f"p{k}.size")
@@ -295,15 +296,21 @@ def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     split = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
     rest = members.join(split, "band", "left_semi").select("node", "size", "label").distinct()
     more = _verified(_sharing(checkpointed(rest), texts, similarity), texts, similarity)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    return signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    rows = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    if more.isEmpty():
+        return rows
+    # What was found last ties whole components: they are the nodes of a second, smaller graph.
+    for c in ("a", "b"):
+        more = more.join(labels.toDF(c, "own"), c, "left").withColumn(c, F.coalesce("own", c)).drop("own")
+    top = components(checkpointed(more.filter("a != b").distinct())).toDF("label", "top")
+    return rows.join(top, "label", "left").select("doc_id", "node", F.coalesce("top", "label").alias("label"))
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class: the least doc_id in it, and how many documents it has."""
-    rows = near_duplicates(read_table(spark, sf_dir, "documents"))
-    classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    rows = checkpointed(near_duplicates(read_table(spark, sf_dir, "documents")))
+    # Written, so that the join reads plain shuffles on both sides, of which Spark can split the rows of a large class.
+    classes = checkpointed(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return rows.join(classes, "label").select("doc_id", "class_id", "class_size")
 
 
