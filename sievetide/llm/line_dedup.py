@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, read_table
+from .common import WORD, checkpointed, read_table
 
 MIN_WORDS = 50
 
@@ -58,9 +58,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = _windows(_lines(docs), min_words)
     place = F.struct("doc_id", "ld_hash", "print_pos")
     prints = windows.groupBy("print_hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("print_hash")
-    met = windows.join(prints, "print_hash", "left_semi").select("doc_id", "ld_hash", "first", "last", "key")
+    # Both are written, so that the join reads plain shuffles, of which Spark can split a very common window's rows.
+    met = checkpointed(windows.join(prints, "print_hash", "left_semi").select("doc_id", "ld_hash", "first", "last", "key"))
     begins = F.struct("doc_id", "ld_hash", "first")
-    earliest = met.groupBy("key").agg(F.min(begins).alias("at"), F.max(begins).alias("to")).filter("at != to").select("key", "at")
+    earliest = checkpointed(met.groupBy("key").agg(F.min(begins).alias("at"), F.max(begins).alias("to")).filter("at != to").select("key", "at"))
     later = met.join(earliest, "key").filter(F.col("at") < begins)
     order = W.partitionBy("doc_id", "ld_hash").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
