@@ -140,7 +140,7 @@ def r56(spark, d):
     return A.source_rows(spark, d).select("id", numbering.wave_scope(mine, before).alias("scope"), numbering.numbering_base(F.when(F.col("wave") % 3 == 0, 7), F.col("wave"), F.lit(5)).alias("base"))
 
 
-@query("w8_activity", "SELECT c_custkey AS request, p.position, p.label, 1000 + CASE p.position WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE 60 END AS at_ms FROM customer, (VALUES (1, 'Read'), (2, 'Prepare'), (3, 'Judge')) p(position, label)")
+@query("w8_activity", "SELECT c_custkey AS request, p.position, p.label, CAST(1000 + CASE p.position WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE 60 END AS BIGINT) AS at_ms FROM customer, (VALUES (1, 'Read'), (2, 'Prepare'), (3, 'Judge')) p(position, label)")
 def w8(spark, d):
     starts = A.table(spark, d, "customer").select(F.col("c_custkey").alias("request"), F.lit(1000).alias("started_ms"))
     phases = starts.select("request", F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("label"), F.lit(i * 10).alias("ms")) for i, n in ((1, "Read"), (2, "Prepare"), (3, "Judge"))])).alias("p")).select("request", "p.*")
