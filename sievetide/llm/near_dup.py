@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Shingles hashed at a time, points drawn at a time, words kept with their hashes.
-BLOCK, DRAWS, MEMO = 100_000, 200_000, 100_000
+BLOCK, DRAWS, MEMO = 100_000, 150_000, 50_000
 #: Members that the others of a bucket are held against, all of them in buckets of at least CROWD.
 PIVOTS, CROWD = 3, 8
 #: Cells of the table that orders shingles by how many texts have them.
@@ -149,7 +149,7 @@ def overlap(a: str, b: str, memo: dict[str, Counter] | None = None) -> float:
         w = WORDS.findall(text)
         out = Counter(zip(*(w[j:] for j in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else Counter([tuple(w)])
         if memo is not None:
-            if len(memo) >= 8:
+            if len(memo) >= 2:
                 memo.pop(next(iter(memo)))
             memo[text] = out
         return out
