@@ -86,3 +86,18 @@ def clearly_involved(text: Column, subject: Subject) -> Column:
 
 def direct_party(head: Column, address: str) -> Column:
     return head.rlike(rf"(?im)^(?:from|to):[^\n]*{any_of([_clean(address)])}")
+
+
+def strong_signal(sender: Column, to: Column, title: Column, body: Column, subject: Subject) -> Column:
+    """An own address in From or To, the name in a header, twice in the body, or once in a forwarded one."""
+    out = F.lit(False)
+    for a in map(_clean, (subject.email, subject.personal_email)):
+        if a:
+            own = rf"(?i)\b{any_of([a])}\b"
+            out = out | sender.rlike(own) | to.rlike(own)
+    for name in map(_clean, (subject.name, *subject.aliases)):
+        if name:
+            word = r"(?i)\b" + any_of([name]).replace(" ", r"\s+") + r"\b"
+            n = F.regexp_count(body, F.lit(word))
+            out = out | F.concat_ws(" ", sender, to, title).rlike(word) | (n >= 2) | ((n >= 1) & body.rlike(r"(?i)forwarded message|original message|from:|to:"))
+    return out

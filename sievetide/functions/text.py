@@ -142,3 +142,31 @@ def unmojibake(x: pd.Series) -> pd.Series:
         return t if sum(t.count(c) for c in "ÃÂâ€") < sum(s.count(c) for c in "ÃÂâ€") else s
 
     return x.map(fix)
+
+
+def sample(text: Column, words: list[str], limit: int = 6000, head: int = 3000, max_lines: int = 25, max_line: int = 300) -> Column:
+    """A text over the limit as its head and the later lines that hold one of the words: as many as fit, cut to max_line characters each."""
+    low = lambda line: F.lower(line)
+    hit = lambda line: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low(line), w)) if words else F.lit(False)
+    lines = F.slice(F.filter(F.split(F.substring(text, head + 1, 2**31 - 1), "\n"), hit), 1, max_lines)
+    start = F.struct(F.lit(0).alias("used"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        cut = F.substring(line, 1, max_line)
+        used = acc["used"] + F.length(cut) + 1
+        # What doesn't fit ends the list: used stays over the budget from then on.
+        return F.struct(used.alias("used"), F.when(used > limit - head, acc["out"]).otherwise(F.concat(acc["out"], F.array(cut))).alias("out"))
+
+    found = F.aggregate(lines, start, step, lambda acc: acc["out"])
+    front = F.substring(text, 1, head)
+    return F.when(F.length(text) <= limit, text).otherwise(F.when(F.size(found) > 0, F.concat(front, F.lit("\n…\n"), F.array_join(found, "\n"))).otherwise(front))
+
+
+def sheet_body(html: Column) -> Column:
+    """HTML mail in a spreadsheet cell as readable text: hidden parts out, blocks to lines, entities to characters."""
+    out = F.regexp_replace(html, r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", "")
+    out = F.regexp_replace(out, r"""(?is)<([a-z][\w:-]*)\b[^>]*(?:\bhidden\b|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)[^>]*>.*?</\1\s*>""", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)<br\s*/?\s*>|</(?:p|div|tr|li|h[1-6])\s*>", "\n"), r"<[^>]+>", " ")
+    for entity, char in (("&nbsp;", " "), ("&zwnj;", ""), ("&shy;", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")

@@ -179,3 +179,28 @@ def j17(spark, d):
     m = A.mails(spark, d)
     book = numbering.number_rows(m.filter("id % 2 = 0"), ["request"], ["id"], name="n").select("id", F.col("n").cast("long").alias("n"))
     return book.join(m.select("id", "subject"), "id")
+
+
+@query(
+    "w12_sample",
+    """WITH l AS (SELECT doc_id AS id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(substr(text, 601), chr(10)) AS ls FROM documents WHERE length(text) > 1200)), m AS (SELECT id, i, substr(line, 1, 100) AS cut, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM l WHERE contains(lower(line), 'license') OR contains(lower(line), 'the ')),
+    k AS (SELECT *, sum(length(cut) + 1) OVER (PARTITION BY id ORDER BY i) AS used FROM m WHERE n <= 5), f AS (SELECT id, string_agg(cut, chr(10) ORDER BY i) AS t FROM k WHERE used <= 600 GROUP BY id) SELECT doc_id AS id, CASE WHEN length(text) <= 1200 THEN text WHEN t IS NULL THEN substr(text, 1, 600) ELSE substr(text, 1, 600) || chr(10) || '…' || chr(10) || t END AS text FROM documents LEFT JOIN f ON f.id = doc_id""",
+)
+def w12(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.sample(F.col("text"), ["license", "the "], 1200, 600, 5, 100).alias("text"))
+
+
+@query("d10_sent_once", f"WITH {A.IMAGES} SELECT id, row_number() OVER (PARTITION BY image_hash ORDER BY id) = 1 AS send FROM images")
+def d10(spark, d):
+    from ..operators.dedup import mark_duplicates
+
+    return mark_duplicates(A.images(spark, d), ["image_hash"], ["id"]).select("id", (~F.col("is_duplicate")).alias("send"))
+
+
+@query("p12_strong_signal", "SELECT doc_id AS id, doc_id % 5 = 0 OR len(regexp_extract_all(text, '(?i)\\bfrom\\b')) >= 2 AS strong FROM documents")
+def p12(spark, d):
+    from ..config import Subject
+
+    me = Subject(name="from", email="v@work.example")
+    sender = F.when(F.col("doc_id") % 5 == 0, "V <v@work.example>").otherwise("x@y")
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.strong_signal(sender, F.lit(""), F.lit(""), F.col("text"), me).alias("strong"))

@@ -161,3 +161,14 @@ def test_scans(spark, tmp_path):
     listing = scans.files(spark, str(tmp_path / "c"))
     assert scans.folder_summary(listing).first().n_files == 1
     assert {r.h for r in scans.ledger(spark, str(tmp_path / "l.jsonl")).collect()} == {"x", "y"}
+
+
+def test_sheet_body(spark):
+    html = '<head><title>x</title></head><div style="display:none">pre</div><p>One &amp; two</p><p>three<br/>four&zwnj;</p><span hidden>no</span>'
+    assert one(spark, T.sheet_body(F.col("x")), x=html) == "One & two\nthree\nfour"
+
+
+def test_sample_keeps_later_mentions(spark):
+    text = "h" * 30 + "\n" + "\n".join(["x" * 9, "has Vera", "vera again", "z" * 50])
+    assert one(spark, T.sample(F.col("x"), ["vera"], 50, 30, 5, 8), x=text) == "h" * 30 + "\n…\nhas Vera\nvera aga"
+    assert one(spark, T.sample(F.col("x"), ["vera"], 500, 30, 5, 8), x=text) == text
