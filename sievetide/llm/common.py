@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,16 +57,15 @@ def hash_unit(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """Arrow batches of at most n rows for the jobs that run inside: rows with long texts fill memory on both sides."""
+#: Rows of an Arrow batch. Spark's default of 10,000 rows with long texts fills memory in the JVM and in Python.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches, as they are made when a result is computed, not when an operator is called."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def sliced(batches, rows: int = 500):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, arrow_rows, checkpointed, key_text, read_table, sliced
+from .common import WORD, checkpointed, key_text, read_table, sliced, small_batches
 
 WORDS = re.compile(WORD)
 SHINGLE = 5
@@ -262,11 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     share a node whatever their doc_ids, null ones included. Other columns are ignored; an empty table gives an
     empty one. The bands can miss a pair at the very limit with a probability of 6e-5; see BANDS.
     """
-    with arrow_rows(docs.sparkSession, 1000):
-        return _labelled(docs, similarity)
-
-
-def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("node", F.unhex(F.md5("text")))
     signed = checkpointed(_signed(keyed))

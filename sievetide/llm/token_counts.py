@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, small_batches
 
 #: Tables are emptied when they have so many entries, to be filled again by what is met.
 MAX_STATES = 100_000
@@ -280,6 +280,7 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> Da
     gives an empty one. No text is cut: a worker holds one Arrow batch and bounded tables.
     """
 
+    small_batches(docs.sparkSession)
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
