@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ReviewConfig, Subject
-from ..operators import cascade, insights
+from ..operators import cascade
 
 #: The subject and the words of the sample review: invented, but common in the sample texts.
 CONFIG = ReviewConfig(subject=Subject(name="the la"), keywords=("license", "licensed"))
@@ -138,4 +138,4 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 CELLS = "lines AS (SELECT doc_id AS book, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS row, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), cells AS (SELECT book, CAST(row AS INT) AS row, CAST(unnest(range(1, len(ws) + 1)) AS INT) AS col, unnest(ws) AS value FROM (SELECT book, row, string_split(line, ' ')[1:8] AS ws FROM lines))"
 
-__all__ = ["CELLS", "CONFIG", "FILES", "IMAGES", "ITEM_EVENTS", "JOBS", "JUDGED", "MAILS", "SCREENED", "SOURCE_ROWS", "cells", "files", "images", "insights", "item_events", "jobs", "judged", "mails", "messages", "screened", "source_rows", "table"]
+__all__ = ["CELLS", "CONFIG", "FILES", "IMAGES", "ITEM_EVENTS", "JOBS", "JUDGED", "MAILS", "SCREENED", "SOURCE_ROWS", "cells", "files", "images", "item_events", "jobs", "judged", "mails", "messages", "screened", "source_rows", "table"]
