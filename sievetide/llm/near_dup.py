@@ -98,7 +98,10 @@ def signatures(texts: list[np.ndarray]) -> np.ndarray:
         i = np.arange(drawn + 1, drawn + c + 1, dtype=np.uint64) * GOLDEN
         a = mixed(seed[:, None] + i)
         b = mixed(a ^ GOLDEN)
-        points = x[:, None] + np.cumsum(-np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None], axis=1)
+        points = -np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
+        # Summed one after the other from the first point on, so that c, and with it the other texts, plays no part.
+        points[:, 0] += x
+        np.cumsum(points, axis=1, out=points)
         register = ((b >> np.uint64(32)) * np.uint64(SIZE) >> np.uint64(32)).astype(np.int64)
         step = (b & np.uint64(0xFFFFFFFF)).astype(np.int64) & (rate.astype(np.int64) - 1)[:, None]
         counts = step < room[:, None]

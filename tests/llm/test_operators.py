@@ -298,6 +298,17 @@ def test_bagminhash_is_unbiased():
     assert abs(np.mean(est) - 24 / 49) < 0.03
 
 
+def test_signatures_do_not_depend_on_the_block():
+    rng = random.Random(11)
+    for n in (9, 18, 27, 50, 400):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(n + 4)]
+        a, b = (near_dup.shingle_hashes(" ".join(w)) for w in (words, [*words[:-1], "z"]))
+        others = [near_dup.shingle_hashes(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 900)))) for _ in range(150)]
+        alone, among = near_dup.signatures([a, b]), near_dup.signatures([*others, b, a])
+        assert (alone == among[[-1, -2]]).all()
+        assert (near_dup.band_keys(alone)[0] == near_dup.band_keys(among)[-2]).any()
+
+
 # Packing
 
 
