@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import json
 import math
@@ -233,6 +234,17 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark, docs):
     assert not got[-1].kept and not got[-2].kept and got[-3].kept and got[-1].perplexity > 3 * got[-3].perplexity
 
 
+def test_a_third_of_junk_moves_no_band(spark, docs):
+    rng = random.Random(12)
+    clean = [r.text for r in docs.filter("lang = 'en' AND length(text) > 1500").dropDuplicates(["text"]).collect() if not quality.SYMBOLS.search(r.text)]
+    alone = {r.text for r in quality.judge(frame(spark, clean)).filter("NOT base_failed").collect()}
+    clean = [t for t in clean if t in alone]
+    junk = [" ".join(base64.b64encode(rng.randbytes(rng.randint(4, 40))).decode() for _ in range(rng.randint(60, 300))) for _ in range(len(clean) // 2)]
+    for copies in (0, 40):
+        got = quality.judge(frame(spark, [*clean, *junk, *junk[:3] * copies])).collect()
+        assert len(clean) > 30 and all(r.kept == (r.doc_id < len(clean)) for r in got)
+
+
 # Near duplicates
 
 
