@@ -245,6 +245,20 @@ def test_a_third_of_junk_moves_no_band(spark, docs):
         assert len(clean) > 30 and all(r.kept == (r.doc_id < len(clean)) for r in got)
 
 
+def test_each_language_has_its_own_model(spark, docs):
+    rows = [r.text for r in docs.filter("lang = 'en' AND length(text) > 1500").dropDuplicates(["text"]).collect() if not quality.SYMBOLS.search(r.text)]
+    cyrillic = [t.lower().translate({ord("a") + i: 0x430 + i for i in range(26)}) for t in rows[:20]]
+    passed = [base(t)[4] * 2 <= base(t)[0] for t in rows]
+    df = frame(spark, rows, "it").unionAll(frame(spark, cyrillic, "ru").withColumn("doc_id", F.col("doc_id") + 1000))
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(got[i].kept == ok for i, ok in enumerate(passed)) and all(got[1000 + i].kept == ok for i, ok in enumerate(passed[:20]))
+    kn = quality.train(df)
+    assert set(kn.number) == {"it", "ru"} and set(kn.bands) == {0, 1}
+    assert len(set(quality.grams("абвгд")[-2:].tolist())) == 2 and quality.grams("абвгд")[-1] != quality.grams("ддддд")[-1]
+    salad = quality.judge(df.limit(0).unionAll(frame(spark, ["".join(random.Random(1).choices("абвгдежз ", k=3000))], "ru")), kn).first()
+    assert not salad.kept
+
+
 # Near duplicates
 
 
