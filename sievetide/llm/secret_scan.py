@@ -1,6 +1,6 @@
 """Operator 2: secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key characters. Their features are length, transitions between kinds of characters, how much
+Candidates are long runs of key characters, and shorter values beside the names of secrets. Their features are length, transitions between kinds of characters, how much
 of them dictionary words cover, the path they stand in, and the words beside them. A random forest, trained from
 labelled findings, gives each a score. Only DataFrame operations and Spark's own learner run.
 """
@@ -18,7 +18,12 @@ from .common import read_table
 
 MIN_LENGTH = 16
 BEFORE, AFTER = 48, 24
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A long run of key characters; or, right after the name of a secret and a colon or an equals sign, any value of six characters or more.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
+STOP = r"\s\"'`,;&<>()\[\]{}"
+NAMED = r"(?i:secret|token|passw(?:or)?d|passphrase|passwd|api[ _-]?key|auth|authorization|credential|private|access[ _-]?key|client[ _-]?key|private[ _-]?key|pwd)"
+VALUE = rf"(?<=[:=][\"'`]|[:=]|[:=]\s{{1,3}}|[:=]\s{{1,3}}[\"'`])(?<={NAMED}[\"'`]?\s{{0,3}}:?[:=]\s{{0,3}}[\"'`]?)[^{STOP}=:][^{STOP}]{{4,}}[^{STOP}.:](?=[.:]?(?:[{STOP}]|$))"
+TOKEN = f"{RUN}|{VALUE}"
 #: Formats of known issuers.
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20,})"
 #: Words of names and code: what they cover is no random text.
@@ -45,8 +50,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     size = F.col("f.left.n") + F.length("f.token")
     upto = F.sum(size).over(W.partitionBy("rid").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("start", (upto - F.length("f.token")).cast("long"))
-    out = rows.select("doc_id", "start", F.col("f.token").alias("token"), F.col("f.left.tail").alias("before"), F.col("f.right.head").alias("after"))
-    return out.filter(F.col("token").rlike("[0-9]") | F.col("token").rlike("[a-z][A-Z].*[a-z][A-Z]"))
+    return rows.select("doc_id", "start", F.col("f.token").alias("token"), F.col("f.left.tail").alias("before"), F.col("f.right.head").alias("after"))
 
 
 def share(pattern: str, of: str = "token") -> Column:
@@ -76,7 +80,7 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     Made from hashes of the row number, so every run has the same ones. For findings of one's own, pass those.
     """
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 512)
-    pick = lambda salt, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("id").cast("string"))), 1, 6), 16, 10).cast("int") % len(values) + 1))
+    pick = lambda salt, values: F.element_at(F.split(F.lit("\x01".join(map(str, values))), "\x01", -1), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("id").cast("string"))), 1, 6), 16, 10).cast("int") % len(values) + 1))
     alnum = F.regexp_replace(F.concat(F.base64(F.unhex(h("a"))), F.base64(F.unhex(h("b")))), "[+/=]", "")
     words = [w for w in DICTIONARY.split("|") if len(w) > 4]
     some = F.concat_ws(" ", pick("x", words), pick("y", words))
@@ -92,6 +96,9 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(pick("gh", ["ghp_", "gho_", "sk_live_", "glpat-", "xoxb-"]), F.substr(alnum, F.lit(1), F.lit(36))), F.concat(some, pick("o3", [" ", " = ", ': "', "Bearer "]))),
         (F.concat(F.lit("eyJ"), F.substr(alnum, F.lit(1), F.lit(60))), F.concat(some, pick("o4", [" Bearer ", ' token: "', " jwt="]))),
         (F.concat(F.base64(F.unhex(F.substring(h("b64"), 1, 64)))), F.concat(some, F.lit(" "), secret_names, assign)),
+        (F.substr(F.regexp_replace(alnum, "[0-9]", ""), F.lit(1), pick("len2", [16, 20, 24, 32]).cast("int")), F.concat(some, F.lit(" "), secret_names, assign)),
+        (F.substr(alnum, F.lit(1), pick("len3", [8, 10, 12, 14]).cast("int")), F.concat(some, F.lit(" "), secret_names, assign)),
+        (F.concat(F.initcap(F.substring(pick("pw", words), 1, 8)), pick("pn", ["7", "42", "2024", "123", "99"]), pick("pm", ["!", "$", "#", "?", ""])), F.concat(some, F.lit(" "), secret_names, assign)),
     ]
     no = [
         (hexes("h2"), F.concat(some, pick("w1", [" commit ", " sha256:", " md5 ", " checksum: ", " revision ", " hash = ", " digest=", " integrity ", ' "sha1": "', " fingerprint "]))),
@@ -102,8 +109,12 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.regexp_replace(F.substring(h("n"), 1, 40), "[a-f]", "7"), F.concat(some, pick("w6", [" ", " order ", " invoice ", " number ", " id "]))),
         (F.substring(pick("z", ["xxxxxxxxxxxxxxxxxxxxxxxx1234", "your-api-key-goes-here-1234", "0000000000000000000000000000", "1234567890abcdef1234567890abcdef", "changeme-changeme-123", "EXAMPLE0KEY0EXAMPLE0KEY"]), 1, 40), F.concat(some, F.lit(" "), secret_names, assign)),
         (F.concat_ws("-", pick("q1", words), pick("q2", words), pick("q3", words), F.lit("2024")), F.concat(some, pick("w7", [" https://www.example.org/blog/", " /", " "]))),
+        (pick("v1", [w for w in words if len(w) > 5]), F.concat(some, F.lit(" "), secret_names, pick("o5", [": ", " = ", "="]))),
+        (camel, F.concat(some, pick("w8", [" ", ".", " = ", " token = ", "/"]))),
+        (F.concat(pick("l1", words), pick("l2", words), pick("l3", words)), F.concat(some, pick("w9", [" ", " the ", ", "]))),
+        (F.concat(pick("r1", words), pick("j", ["-", "_", "/"]), pick("r2", words), pick("j", ["-", "_", "/"]), pick("r3", words)), F.concat(some, pick("wa", [" ", " /", " = ", " key = "]))),
     ]
-    rows = yes * 4 + no * 3  # 24 of each
+    rows = yes * 4 + no * 3  # 36 of each
     what = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(float(i < len(yes) * 4)).alias("label")) for i, (t, b) in enumerate(rows)])
     rows_df = spark.range(0, n, 1, 4).withColumn("w", F.element_at(what, (F.col("id") % len(rows) + 1).cast("int")))
     return rows_df.select("w.token", "w.before", F.concat(end, pick("after", words)).alias("after"), "w.label")

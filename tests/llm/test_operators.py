@@ -97,6 +97,15 @@ def test_secret_spans(spark):
     assert {d for d, _ in got} == {0, 1, 5}
 
 
+def test_secrets_after_equals_signs_and_short_ones(spark):
+    key = hashlib.sha1(b"y").hexdigest()
+    cases = [("api_key=", key[:32]), ("export AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzKEY"), ("see https://host.example/a?token=", key), ("password=", "Winter42!"), ('client_secret = "', "qZtRwLkPvXnBgHsD")]
+    texts = [f"some text here\n{before}{value}\nand more" for before, value in cases]
+    got = {(r.doc_id, r.start): (r.token, r.is_secret) for r in secret_scan.scan(frame(spark, texts)).collect()}
+    for i, (_, value) in enumerate(cases):
+        assert got[i, texts[i].index(value)] == (value, True), (value, got)
+
+
 # Mixing
 
 
