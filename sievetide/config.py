@@ -20,8 +20,8 @@ FUNNEL_RULES = {
 AI_RULES = ("ai_email", "ai_file", "mail_screen")
 OUTCOMES = ("type", "keyword", "other", "subject", "ai_discarded", "review", "kept", "waiting")
 SUPPORTED = (".pdf", ".doc", ".docx", ".xlsx", ".xls", ".csv", ".html", ".htm", ".eml", ".msg", ".txt", ".png", ".jpg", ".jpeg", ".gif", ".webp")
-VIDEO = (".mp4", ".mov", ".avi", ".mkv", ".wmv", ".webm", ".m4v", ".mpg", ".mpeg")
-AUDIO = (".mp3", ".wav", ".m4a", ".aac", ".ogg", ".flac", ".wma")
+VIDEO = (".mp4", ".m4v", ".mov", ".avi", ".wmv", ".mkv", ".webm", ".mpg", ".mpeg", ".3gp", ".flv", ".ts", ".mts", ".m2ts")
+AUDIO = (".mp3", ".wav", ".m4a", ".aac", ".wma", ".ogg", ".opus", ".flac", ".amr", ".aiff")
 
 
 @dataclass(frozen=True)

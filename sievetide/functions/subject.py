@@ -75,13 +75,19 @@ def sent_to_in_text(text: Column, address: str) -> Column:
     return text.rlike(rf"(?i)\b(?:to|cc|bcc)\s*:[^\n]{{0,240}}{any_of([_clean(address)])}") if address else F.lit(False)
 
 
-def clearly_involved(text: Column, subject: Subject) -> Column:
-    """An address anywhere, or a line that starts with the name and goes on like a message header."""
+def clearly_involved(text: Column, subject: Subject, is_excerpt: Column | None = None) -> Column:
+    """An address anywhere, or a line that starts with the name or an alias and goes on as an author's or speaker's does.
+
+    Such a line may begin with "Message edited:"; after the name come a bracket, a time, a date or a colon. A chat excerpt
+    (is_excerpt) is judged by what it is about and never counts.
+    """
     out = F.lit(False)
     for a in map(_clean, (subject.email, subject.personal_email)):
         out = out | (F.lower(text).contains(a) if a else F.lit(False))
-    name = any_of([_clean(subject.name)])
-    return out | (text.rlike(rf"(?im)^\s*{name}\s*(?:<|:|\d{{1,2}}[:./-])") if subject.name else F.lit(False))
+    names = [n for n in dict.fromkeys(map(_clean, (subject.name, *subject.aliases))) if n]
+    if names:
+        out = out | text.rlike(rf"(?im)^\s*(?:message edited:\s*)?(?:{any_of(names)})(?:\s*<|\s+\d{{1,2}}:\d{{2}}|\s+\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\s*:)")
+    return out if is_excerpt is None else out & ~F.coalesce(is_excerpt, F.lit(False))
 
 
 def direct_party(head: Column, address: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -19,10 +20,9 @@ def unix_lines(x: Column) -> Column:
 
 
 def cut_at(x: Column, markers: tuple[str, ...]) -> Column:
-    """x up to the earliest match of a marker."""
-    found = [F.when(x.rlike(m), F.length(F.regexp_substr(x, F.lit("(?s)^.*?(?=" + m + ")")))) for m in markers]
-    at = F.array_min(F.array(F.length(x), *found))
-    return F.substr(x, F.lit(1), at.cast("int"))
+    """x up to the earliest match of a marker: one search for all of them."""
+    grouped = "|".join(re.sub(r"^\(\?(\w+)\)(.*)$", r"(?\1:\2)", m) for m in markers)
+    return F.regexp_replace(x, rf"(?:{grouped})[\s\S]*", "")
 
 
 def strip_signature(x: Column) -> Column:
@@ -69,7 +69,7 @@ def thread_blocks(x: Column) -> Column:
 def thread_parts(x: Column) -> Column:
     """first, second and rest of a thread."""
     b = thread_blocks(x)
-    return F.struct(F.coalesce(F.get(b, F.lit(0)), x).alias("first"), F.coalesce(F.get(b, F.lit(1)), F.lit("")).alias("second"), F.array_join(F.slice(b, 3, 100_000), "\n\n").alias("rest"))
+    return F.struct(F.coalesce(F.get(b, F.lit(0)), x).alias("first"), F.coalesce(F.get(b, F.lit(1)), F.lit("")).alias("second"), F.array_join(F.slice(b, 3, F.size(b)), "\n\n").alias("rest"))
 
 
 def header_value(block: Column, header: str) -> Column:
@@ -89,6 +89,7 @@ def label(x: Column, fallback: Column) -> Column:
 
 def discard_rule(x: Column) -> Column:
     """The rule that a logged discard text stands for; the first that matches."""
+    # Texts of old logs.
     options = (("(?i)duplicate", "dup"), ("(?i)password-protected|encrypted", "password"), ("(?i)excluded keyword", "keyword"), ("(?i)subject header pattern|authored by subject", "chat_legacy"), ("(?i)not mentioned|missing subject name", "subject_absent"), ("(?i)0-byte|empty output", "empty_output"), ("(?i)signature image", "signature_image"), ("(?i)unreadable image", "unreadable_image"), ("(?i)unsupported format", "unsupported_type"))
     return F.coalesce(*[F.when(x.rlike(p), rule) for p, rule in options], F.lit("files_filter"))
 
@@ -121,27 +122,44 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
+# Characters without content, and Windows-1252 for bytes that Latin-1 leaves to controls.
+CONTROLS = (*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0))
+INVISIBLE = (0xAD, 0x34F, 0x61C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF)
+_UNSEEN = dict.fromkeys((*CONTROLS, *INVISIBLE))
+_ARTEFACT = re.compile("[âÃÂ][^\n\r\u2028\u2029]|\ufffd")
+
+
+def _byte(c: str) -> bytes:
+    return bytes([ord(c)]) if ord(c) < 0x100 else c.encode("cp1252")
+
+
+def repaired(s: str | None) -> str | None:
+    """s with UTF-8 that was read as Windows-1252 undone, if that is possible without loss and leaves fewer traces."""
+    n = len(_ARTEFACT.findall(s)) if s else 0
+    if not n:
+        return s
+    try:
+        t = b"".join(map(_byte, s)).decode("utf-8")
+    except UnicodeError:
+        return s
+    return t if len(_ARTEFACT.findall(t)) < n else s
+
+
+def normalised(s: str | None) -> str | None:
+    """s repaired, with compatibility forms unified, without controls and invisible characters, runs of white space as one space."""
+    if s is None:
+        return None
+    return re.sub(r"\s{2,}", " ", unicodedata.normalize("NFKC", repaired(s)).translate(_UNSEEN)).strip()
+
+
 @F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
-    """Compatibility forms unified, controls and invisible characters out, single spaces."""
-    bad = {c: None for c in (*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F, 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF)}
-    return x.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).translate(bad).split()))
+    return x.map(normalised, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
 def unmojibake(x: pd.Series) -> pd.Series:
-    """Undoes UTF-8 that was read as Windows-1252, where that gives fewer suspicious characters."""
-
-    def fix(s: str | None) -> str | None:
-        if not s or not any(c in s for c in "ÃÂâ€"):
-            return s
-        try:
-            t = s.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            return s
-        return t if sum(t.count(c) for c in "ÃÂâ€") < sum(s.count(c) for c in "ÃÂâ€") else s
-
-    return x.map(fix)
+    return x.map(repaired, na_action="ignore")
 
 
 def sample(text: Column, words: list[str], limit: int = 6000, head: int = 3000, max_lines: int = 25, max_line: int = 300) -> Column:

@@ -23,8 +23,14 @@ def excerpts(messages: DataFrame, cites: Column, context: int = 5, chat: str = "
 
 
 def excerpt_texts(messages: DataFrame, spans: DataFrame, chat: str = "chat", seq: str = "seq") -> DataFrame:
-    """chat, excerpt and the joined text of its messages."""
-    inside = spans.join(messages, chat).filter(F.col(seq).between(F.col("first"), F.col("last")))
+    """chat, excerpt and the joined text of its messages.
+
+    Excerpts of a chat don't overlap: each message belongs to the last excerpt that begins at it or before, if that reaches
+    so far. One pass over a chat's messages finds it.
+    """
+    starts = spans.select(chat, F.col("first").alias(seq), F.struct("excerpt", "last").alias("cx"))
+    own = F.last("cx", ignorenulls=True).over(W.partitionBy(chat).orderBy(seq))
+    inside = messages.join(starts, [chat, seq], "left").withColumn("cx", own).filter(F.col(seq) <= F.col("cx.last")).withColumn("excerpt", F.col("cx.excerpt"))
     line = F.struct(seq, F.concat_ws(" ", "author", F.lit("\n"), "text").alias("t"))
     return inside.groupBy(chat, "excerpt").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda m: m["t"]), "\n").alias("text"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import label
 
-DELIVERED_TOPS = ("Emails", "Files", "Attachments", "Chats")
+# The folders that are delivered.
+DELIVERED_TOPS = ("Emails", "Messages", "Documents", "For Human Review")
 HEADER = ("time", "decision", "item", "kind", "origin", "parent", "rule", "reason", "decided_by")
 
 
@@ -39,9 +40,9 @@ def write_requests(lines: DataFrame, path: str) -> None:
 
 
 def deliverable(path: Column) -> Column:
-    """Paths under the delivered folders, but not the fallback copies."""
-    parts = F.split(path, "/")
-    return F.get(parts, F.lit(0)).isin(*DELIVERED_TOPS) & ~F.array_contains(parts, "Unconverted")
+    """Paths inside the delivered folders, but not the fallback copies in their Unconverted folders."""
+    parts = F.filter(F.split(path, r"[\\/]"), lambda p: p != "")
+    return (F.size(parts) >= 2) & F.coalesce(F.get(parts, F.lit(0)).isin(*DELIVERED_TOPS) & (F.get(parts, F.lit(1)) != "Unconverted"), F.lit(False))
 
 
 def disposition(state: Column, rule: Column, converted: Column) -> Column:

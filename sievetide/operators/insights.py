@@ -105,10 +105,14 @@ def work_ms() -> Column:
     return plain + F.greatest(F.lit(0), F.col("files_duration_ms") - F.col("files_paused_ms"))
 
 
+# Statuses of a source that is being parsed.
+PARSING = ("scanning_metadata", "processing", "pending_analysis")
+
+
 def parse_status(status: str = "status") -> Column:
-    """Fan-in of the parse phase over a group's rows."""
+    """Fan-in of the parse phase over a group's rows: any failure, any activity, else the status of the first id."""
     s = F.col(status)
-    return F.when(F.bool_or(s == "failed"), "failed").when(F.bool_or(s.isin("scanning_metadata", "analyzing", "processing")), "processing").otherwise(F.coalesce(F.min_by(s, F.struct(F.col("id"), s)), F.lit("pending")))
+    return F.when(F.bool_or(s == "failed"), "failed").when(F.bool_or(s.isin(*PARSING)), "processing").otherwise(F.coalesce(F.min_by(s, F.struct(F.col("id"), s)), F.lit("pending")))
 
 
 def extract_status(status: str = "status") -> Column:

@@ -19,7 +19,7 @@ def parse_answer(raw: Column) -> Column:
 
 
 def clamp_percent(x: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(x + F.lit(0.5)))).cast("int")
+    return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.floor(x + F.lit(0.5)))).cast("int"))
 
 
 def decide_file(relevance: Column, sensitivity: Column, employee: Column, involved: Column, large: Column) -> Column:
@@ -27,10 +27,20 @@ def decide_file(relevance: Column, sensitivity: Column, employee: Column, involv
     return F.when(relevance.isNull() | sensitivity.isNull(), "review").when(sensitivity != "none", "discard").when(employee & (relevance == "irrelevant") & ~involved, "discard").when(large, "review").otherwise("keep")
 
 
-def fold_mail(verdict: Column, sensitivity: Column, reason: Column) -> Column:
-    """(verdict, reason, second_pass): confidential mail goes without a second pass."""
-    bad = F.coalesce(sensitivity != "none", F.lit(False))
-    return F.struct(F.when(bad, "discard").otherwise(verdict).alias("verdict"), F.substring(F.when(bad, F.concat(F.lit("Confidential: "), reason)).otherwise(reason), 1, 240).alias("reason"), (~bad & (verdict == "discard")).alias("second_pass"))
+def confidential_category(sensitivity: Column) -> Column:
+    """The category that forbids delivery; null for none, and for values that are missing or unknown."""
+    return F.when(sensitivity.isin(*SENSITIVITIES[1:]), sensitivity)
+
+
+def fold_mail(verdict: Column, sensitivity: Column, reason: Column, second_pass: Column) -> Column:
+    """(verdict, reason, second_pass, confidential): confidential mail goes, without a second pass."""
+    category = confidential_category(sensitivity)
+    bad = category.isNotNull()
+    told = F.substring(F.concat(F.lit("Confidential ("), category, F.lit("): "), reason), 1, 240)
+    return F.struct(
+        F.when(bad, "discard").otherwise(verdict).alias("verdict"), F.when(bad, told).otherwise(reason).alias("reason"),
+        (~bad & F.coalesce(second_pass, F.lit(False))).alias("second_pass"), bad.alias("confidential"),
+    )
 
 
 def sampled(id_: Column, share: float) -> Column:
@@ -42,11 +52,24 @@ def needs_second_review(id_: Column, p_keep: Column, doubtful: Column, involved:
     return p_keep.isNull() | (p_keep >= least) | doubtful | involved | sampled(id_, share)
 
 
+AUDIT = "decision STRING, reason STRING, needs_second_pass BOOLEAN, sensitivity STRING, confidence DOUBLE"
+
+
 def apply_first_pass(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Mail verdicts: answers that don't parse discard, missing ones stay pending."""
+    """requests (id) with what their mail answers (id, raw) decide: state, reason, p_keep, second_pass, confidential.
+
+    An answer that is no JSON discards, and so does any decision but keep; a confidential category discards whatever else was
+    said. A mail without an answer stays pending.
+    """
     j = requests.join(answers, "id", "left")
-    state = F.when(F.col("raw").isNull(), "pending").when(F.col("judgement").isNull(), "discarded").when(F.col("judgement.relevance") == "relevant", "kept").otherwise("discarded")
-    return j.withColumn("judgement", parse_answer(F.col("raw"))).withColumn("state", state)
+    bare = F.regexp_replace(F.trim("raw"), r"(?s)^```(?:json)?\s*|\s*```$", "")
+    broken = F.try_parse_json(bare).isNull()
+    a = F.when(~broken, F.from_json(bare, AUDIT))
+    verdict = F.when(a["decision"] == "keep", "keep").otherwise("discard")
+    reason = F.when(broken, "Invalid AI output format.").otherwise(F.coalesce(F.nullif(a["reason"], F.lit("")), F.lit("Audited.")))
+    j = j.withColumn("folded", F.when(F.col("raw").isNotNull(), fold_mail(verdict, a["sensitivity"], reason, a["needs_second_pass"]))).withColumn("p_keep", clamp_percent(a["confidence"]))
+    state = F.when(F.col("folded").isNull(), "pending").when(F.col("folded.verdict") == "keep", "kept").otherwise("discarded")
+    return j.select(*requests.columns, "raw", state.alias("state"), "folded.reason", "p_keep", "folded.second_pass", "folded.confidential")
 
 
 def apply_second_review(kind: Column, verdict: Column, sensitivity: Column) -> Column:
@@ -68,8 +91,10 @@ def route(n: Column, threshold: int = 100) -> Column:
     return F.when(n > threshold, "batch").otherwise("synchronous")
 
 
-def image_verdict(verdict: Column, sure: Column, readable: Column) -> Column:
-    return F.when((verdict == "discard") & ~sure, "review").when((verdict == "discard") & ~readable, "review").otherwise(verdict)
+def image_verdict(verdict: Column, sensitivity: Column, sure: Column, readable: Column) -> Column:
+    """A picture is discarded only for sure; as irrelevant only if it has text to show that, as confidential even without."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return F.when((verdict == "discard") & ~yes(sure), "review").when((verdict == "discard") & (sensitivity == "none") & ~yes(readable), "review").otherwise(verdict)
 
 
 def fit_payload(first: Column, second: Column, rest: Column, limit: int = 400_000, chain: int = 20_000, body: int = 150_000) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -91,19 +93,21 @@ HASHED = f"""{A.MAILS}, hashed AS (SELECT *, sha256(request || '::' || CASE WHEN
 marked AS (SELECT *, row_number() OVER (PARTITION BY request, email_hash ORDER BY seq) > 1 OR (length(message_id) > 5 AND row_number() OVER (PARTITION BY request, message_id ORDER BY seq) > 1) AS is_duplicate FROM hashed)"""
 
 
-def hashed(spark, d):
-    m = A.mails(spark, d)
+def _with_hash(mails):
     base = ids.base_hash(F.col("message_id"), ids.fallback_hash(F.col("sender"), F.col("subject"), F.col("body")))
-    return m.withColumn("email_hash", ids.email_hash(F.col("request"), base))
+    return mails.withColumn("email_hash", ids.email_hash(F.col("request"), base))
+
 
+MAIL_IDS = ("id", "seq", "request", "file_id", "message_id", "email_hash")
 
-def marked(spark, d):
-    return mark_mail_duplicates(hashed(spark, d))
+
+def hashed(spark, d):
+    return _with_hash(A.mails(spark, d)).select(*MAIL_IDS)
 
 
 @query("d1_mail_dedup", f"WITH {HASHED} SELECT id, email_hash, is_duplicate FROM marked")
 def d1(spark, d):
-    return marked(spark, d).select("id", "email_hash", "is_duplicate")
+    return mark_mail_duplicates(hashed(spark, d)).select("id", "email_hash", "is_duplicate")
 
 
 @query("d3_duplicate_numbers", f"WITH {HASHED}, n AS (SELECT id, file_id, email_hash, row_number() OVER (PARTITION BY file_id, email_hash ORDER BY seq) - 1 AS occurrence FROM hashed) SELECT id, occurrence, sha256('duplicate:' || file_id || ':' || email_hash || ':' || occurrence) AS item_id FROM n WHERE occurrence > 0")
@@ -114,7 +118,7 @@ def d3(spark, d):
     return n.select("id", F.col("occurrence").cast("long").alias("occurrence"), ids.duplicate_item_id(F.col("file_id"), F.col("email_hash"), F.col("occurrence")).alias("item_id"))
 
 
-_MAIL_TEXT = "trim(regexp_replace(subject || chr(10) || body, '(?im)(?:^--\\s*$|^sent from my\\b|^(?:kind|best|warm) regards[,!]?\\s*$|^(?:many )?thanks[,!]?\\s*$|^(?:yours|sincerely)[,!]?\\s*$|^this (?:e-?mail|email|message)(?: and any attachments?)?\\b.*\\b(?:confidential|privileged)\\b|^confidentiality (?:notice|disclaimer)\\b)[\\s\\S]*', ''))"
+_MAIL_TEXT = f"trim({A.SIGNATURE_CUT.format(x='subject || chr(10) || body')})"
 _ALL_TEXT = "sender || chr(10) || array_to_string(recipients, ', ') || chr(10) || subject || chr(10) || body || chr(10)"
 
 
@@ -124,7 +128,26 @@ _ALL_TEXT = "sender || chr(10) || array_to_string(recipients, ', ') || chr(10) |
     CASE WHEN is_duplicate THEN 'dup' WHEN kw THEN 'keyword' WHEN len(recipients) = 0 THEN 'draft' WHEN NOT mentioned THEN 'subject_absent' END AS rule FROM (SELECT *, {A.KEYWORD_SQL.format(x=_MAIL_TEXT)} AS kw, {A.MENTION_SQL.format(x=_ALL_TEXT)} AS mentioned FROM marked)""",
 )
 def cascade_mail(spark, d):
-    return cascade.mail_cascade(marked(spark, d), A.CONFIG).select("id", "state", "rule")
+    # One pass over the texts; copies are marked among ids and hashes.
+    decided = cascade.mail_cascade(_with_hash(A.mails(spark, d)), A.CONFIG).select(*MAIL_IDS, "state", "rule", "decided_by")
+    return cascade.with_copies(mark_mail_duplicates(decided)).select("id", "state", "rule")
+
+
+@query(
+    "cascade_mail_client",
+    f"""WITH {HASHED}, s AS (SELECT doc_id AS id, CASE WHEN max(toxic) = 1 THEN 'discard' WHEN max(quality) = 0 THEN 'review' ELSE 'keep' END AS v FROM labels GROUP BY doc_id)
+    SELECT m.id, CASE WHEN is_duplicate THEN 'discarded' WHEN v = 'discard' THEN 'discarded' WHEN v = 'review' THEN 'review' ELSE 'kept' END AS state, CASE WHEN is_duplicate THEN 'dup' WHEN v IN ('discard', 'review') THEN 'mail_screen' ELSE 'client_case' END AS rule FROM marked m LEFT JOIN s USING (id)""",
+)
+def cascade_mail_client(spark, d):
+    decided = cascade.mail_cascade(_with_hash(A.mails(spark, d)), replace(A.CONFIG, client_case=True)).select(*MAIL_IDS, "state", "rule", "decided_by")
+    labels = A.table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    screened = labels.select("id", F.when(F.col("t") == 1, "discard").when(F.col("q") == 0, "review").otherwise("keep").alias("verdict"))
+    return cascade.mail_screen(cascade.with_copies(mark_mail_duplicates(decided)), screened).select("id", "state", "rule")
+
+
+@query("cascade_attachments", f"WITH {A.ATTACHMENTS}")
+def cascade_attachments(spark, d):
+    return cascade.attachment_cascade(A.attachments(spark, d), A.CONFIG).select("id", "rule", "state")
 
 
 @query("j4_coverage", f"WITH {A.JUDGED}, e AS (SELECT id FROM items WHERE id % 9 <> 0), i AS (SELECT id, state FROM items WHERE id % 11 <> 0), b AS (SELECT e.id AS eid, i.id AS iid, i.state FROM e FULL JOIN i ON e.id = i.id) SELECT count(eid) AS emails, count(iid) AS items, count(*) FILTER (iid IS NULL) AS missing, count(*) FILTER (eid IS NULL) AS orphans, count(*) FILTER (state = 'pending') AS pending, (SELECT string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) FROM (SELECT eid FROM b WHERE iid IS NULL ORDER BY eid LIMIT 20)) AS first_missing FROM b")
@@ -159,11 +182,26 @@ def v1(spark, d):
     return a.select("id", p["relevance"].alias("relevance"), p["sensitivity"].alias("sensitivity"))
 
 
-@query("v3_fold_mail", "SELECT doc_id AS id, CASE WHEN toxic = 1 OR quality = 0 THEN 'discard' ELSE 'keep' END AS verdict, coalesce(toxic <> 1 AND quality = 0, false) AS second_pass FROM labels")
+# Every sensitivity, an unknown one, and none at all.
+_SENSITIVITY = "(['none', 'payroll_compensation', 'legal_privileged', 'hr_investigation_or_discipline', 'third_party_personal_data', 'other_confidential', 'secret', NULL])[doc_id % 8 + 1]"
+_CATEGORY = f"CASE WHEN {_SENSITIVITY} IN ('payroll_compensation', 'legal_privileged', 'hr_investigation_or_discipline', 'third_party_personal_data', 'other_confidential') THEN {_SENSITIVITY} END"
+
+
+def _sensitivity():
+    values = ("none", "payroll_compensation", "legal_privileged", "hr_investigation_or_discipline", "third_party_personal_data", "other_confidential", "secret", None)
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % 8 + 1).cast("int"))
+
+
+@query(
+    "v3_fold_mail",
+    f"""SELECT doc_id AS id, CASE WHEN c IS NOT NULL OR quality = 0 THEN 'discard' ELSE 'keep' END AS verdict, CASE WHEN c IS NOT NULL THEN substr('Confidential (' || c || '): ' || r, 1, 240) ELSE r END AS reason,
+    c IS NULL AND toxic = 1 AS second_pass, c IS NOT NULL AS confidential FROM (SELECT *, {_CATEGORY} AS c, 'because ' || repeat('x', CAST(doc_id % 300 AS INT)) AS r FROM labels)""",
+)
 def v3(spark, d):
     a = A.table(spark, d, "labels")
-    f = verdicts.fold_mail(F.when(F.col("quality") == 1, "keep").otherwise("discard"), F.when(F.col("toxic") == 1, "other_confidential").otherwise("none"), F.lit("r"))
-    return a.select(F.col("doc_id").alias("id"), f["verdict"].alias("verdict"), f["second_pass"].alias("second_pass"))
+    reason = F.concat(F.lit("because "), F.repeat(F.lit("x"), (F.col("doc_id") % 300).cast("int")))
+    f = verdicts.fold_mail(F.when(F.col("quality") == 0, "discard").otherwise("keep"), _sensitivity(), reason, F.col("toxic") == 1)
+    return a.select(F.col("doc_id").alias("id"), f.alias("f")).select("id", "f.*")
 
 
 @query("v4_review_gate", "SELECT doc_id AS id, quality IS NULL OR CAST(doc_id % 10 AS INT) >= 8 OR toxic = 1 OR ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 < 0.02 AS second FROM labels")
@@ -185,20 +223,25 @@ def v789(spark, d):
     return verdicts.retry_runs(runs).select("id", "next", verdicts.route(F.col("id") % 200).alias("route"), verdicts.missing_answer(F.when(F.col("id") % 2 == 0, "file").otherwise("email")).alias("missing"))
 
 
-@query("v10_image_verdict", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0) THEN 'review' WHEN p_size % 2 = 0 THEN 'discard' ELSE 'keep' END AS verdict FROM part")
+@query(
+    "v10_image_verdict",
+    """SELECT p_partkey AS id, CASE WHEN v = 'discard' AND NOT (p_partkey % 3 = 1) THEN 'review' WHEN v = 'discard' AND s = 'none' AND NOT (p_partkey % 5 = 1) THEN 'review' ELSE v END AS verdict
+    FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'discard' ELSE 'keep' END AS v, CASE WHEN p_partkey % 4 = 0 THEN 'other_confidential' ELSE 'none' END AS s FROM part)""",
+)
 def v10(spark, d):
-    p = A.table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), verdicts.image_verdict(F.when(F.col("p_size") % 2 == 0, "discard").otherwise("keep"), F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 5 != 0).alias("verdict"))
+    p, k = A.table(spark, d, "part"), F.col("p_partkey")
+    # sure and readable may be missing.
+    sure, readable = F.when(k % 3 != 0, k % 3 == 1), F.when(k % 5 != 0, k % 5 == 1)
+    return p.select(k.alias("id"), verdicts.image_verdict(F.when(F.col("p_size") % 2 == 0, "discard").otherwise("keep"), F.when(k % 4 == 0, "other_confidential").otherwise("none"), sure, readable).alias("verdict"))
 
 
 @query("v12_cascade_children", f"WITH {A.JUDGED}, c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS parent_id FROM conversations) SELECT c.id, CASE WHEN i.state = 'discarded' THEN 'discarded' ELSE 'kept' END AS state, CASE WHEN i.state = 'discarded' THEN i.rule ELSE 'chat_excerpt' END AS rule FROM c LEFT JOIN items i ON i.id = c.parent_id")
 def v12(spark, d):
     parents = A.judged(spark, d).select("id", "state", "rule", F.lit(None).cast("long").alias("parent_id"))
-    children = A.messages(spark, d).select((F.col("chat") * 1000 + F.col("seq")).alias("id"), F.lit("kept").alias("state"), F.lit("chat_excerpt").alias("rule"), F.col("chat").alias("parent_id"))
-    gone = parents.filter("state = 'discarded'").select(F.col("id").alias("parent_id"), F.col("rule").alias("parent_rule"))
-    j = children.join(gone, "parent_id", "left")
-    hit = F.col("parent_rule").isNotNull()
-    return j.select("id", F.when(hit, "discarded").otherwise(F.col("state")).alias("state"), F.when(hit, F.col("parent_rule")).otherwise(F.col("rule")).alias("rule"))
+    # Messages get ids of their own range.
+    children = A.messages(spark, d).select((F.lit(10**9) + F.col("chat") * 1000 + F.col("seq")).alias("id"), F.lit("kept").alias("state"), F.lit("chat_excerpt").alias("rule"), F.col("chat").alias("parent_id"))
+    out = verdicts.cascade_to_children(parents.unionByName(children)).filter("parent_id IS NOT NULL")
+    return out.select((F.col("id") - 10**9).alias("id"), "state", "rule")
 
 
 @query("v13_fit_payload", "SELECT doc_id AS id, length(text) AS n, CASE WHEN length(text) > 4000 THEN least(length(text), 200) ELSE length(text) END AS kept_chars FROM documents")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import subject as S
 from ..functions import text as T
 from ..operators import jobs, ledger, numbering, status, verdicts
+from ..operators.dedup import mark_mail_duplicates
 from ..sources import adapters as A
 from .base import query
-from .decisions import DECIDED, HASHED, decided, marked
+from .decisions import DECIDED, HASHED, decided, hashed
 
 
 @query("k3_verdict_rows", f"WITH {DECIDED} SELECT 'doc-' || id AS file, verdict, CASE WHEN verdict = 'review' THEN 'no judgement' ELSE 'judged' END AS reason FROM decided")
@@ -70,7 +71,7 @@ def a30(spark, d):
 
 @query("j1_j5_backfill", f"WITH {HASHED} SELECT id, file_id, CASE file_id WHEN 'archive-2' THEN NULL ELSE 'r-' || file_id END AS request, CASE WHEN is_duplicate THEN 'discarded' ELSE 'pending' END AS state, CASE WHEN is_duplicate THEN 'dup' END AS rule FROM marked WHERE id % 4 <> 0")
 def j15(spark, d):
-    m = marked(spark, d)
+    m = mark_mail_duplicates(hashed(spark, d))
     sources = m.select("file_id").distinct().filter("file_id != 'archive-2'").withColumn("request", F.concat(F.lit("r-"), "file_id"))
     return status.backfill_items(m.drop("request"), sources, m.filter("id % 4 = 0").select("id"))
 
@@ -139,12 +140,21 @@ def u6(spark, d):
     return items.join(payloads, "id", "left_semi").join(items.filter("id % 13 = 0").select("id"), "id", "left_anti").select("id")
 
 
-@query("v5_first_pass", "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'pending' WHEN doc_id % 5 = 0 THEN 'discarded' WHEN quality = 1 THEN 'kept' ELSE 'discarded' END AS state FROM labels")
+@query(
+    "v5_first_pass",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'pending' WHEN doc_id % 5 = 0 OR toxic = 1 OR quality <> 1 THEN 'discarded' ELSE 'kept' END AS state,
+    CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'Invalid AI output format.' WHEN toxic = 1 THEN 'Confidential (legal_privileged): so' ELSE 'so' END AS reason,
+    CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 OR toxic = 1 THEN false ELSE doc_id % 3 = 0 END AS second_pass,
+    CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN CAST(least(100, greatest(0, floor(doc_id % 240 / 2.0 - 5 + 0.5))) AS INT) END AS p_keep FROM labels""",
+)
 def v5(spark, d):
-    labels = A.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    good = F.to_json(F.struct(F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant").alias("relevance"), F.lit("none").alias("sensitivity"), F.lit("").alias("reason"), F.lit(1).alias("confidence")))
-    raw = labels.filter("id % 7 != 0").select("id", F.when(F.col("id") % 5 == 0, "broken").otherwise(good).alias("raw"))
-    return verdicts.apply_first_pass(labels.select("id"), raw).select("id", "state")
+    labels = A.table(spark, d, "labels").withColumnRenamed("doc_id", "id")
+    said = F.struct(
+        F.when(F.col("quality") == 1, "keep").otherwise("discard").alias("decision"), F.lit("so").alias("reason"), (F.col("id") % 3 == 0).alias("needs_second_pass"),
+        F.when(F.col("toxic") == 1, "legal_privileged").when(F.col("id") % 2 == 0, "unheard_of").alias("sensitivity"), (F.col("id") % 240 / 2 - 5).alias("confidence"),
+    )
+    raw = F.when(F.col("id") % 5 == 0, "broken").when(F.col("id") % 4 == 0, F.concat(F.lit("```json\n"), F.to_json(said), F.lit("\n```"))).otherwise(F.to_json(said))
+    return verdicts.apply_first_pass(labels.select("id"), labels.filter("id % 7 != 0").select("id", raw.alias("raw"))).select("id", "state", "reason", "second_pass", "p_keep")
 
 
 @query("r1_stage", "SELECT l_orderkey * 10 + l_linenumber AS id, l_linestatus, CASE WHEN l_returnflag = 'A' THEN 'failed parse' WHEN l_linestatus = 'O' THEN 'queued render' WHEN l_returnflag = 'R' THEN 'active ai' ELSE 'completed' END AS stage FROM lineitem")

@@ -42,12 +42,17 @@ def p69(spark, d):
     return A.mails(spark, d).select("id", to.alias("personal"), ((F.col("sender") == "user3@work.example") & to).alias("self_forward"))
 
 
-@query("p14_clearly_involved", DOC.format("regexp_matches(text, '(?im)^\\s*the\\s*(?:<|:|\\d{1,2}[:./-])') OR contains(lower(text), '@mail3.example.com') AS hit"))
+_LINES = ("The La <x@y>", "  message edited:  THE LA: hello", "the la 12:30 hi", "Lala 1/12/2026 x", "the la 7. May", "the la 7-8", "ask the la: now", "the lab: no", "lala\t<v@w>", "write to V@Work.example please", "nothing")
+
+
+@query("p14_clearly_involved", "WITH x AS (SELECT doc_id AS id, ([" + ", ".join(repr(x).replace("\\t", "\t") for x in _LINES) + "])[doc_id % 11 + 1] || chr(10) || coalesce(text, '') AS t FROM documents), l AS (SELECT id, bool_or(regexp_matches(regexp_replace(trim(lower(line), ' ' || chr(9)), '^message edited:\\s*', ''), '^(the la|lala)(\\s*<|\\s+\\d{1,2}:\\d{2}|\\s+\\d{1,2}/\\d{1,2}/\\d{2,4}|\\s*:)')) AS spoke FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM x) GROUP BY id) SELECT id, id % 10 <> 3 AND (contains(lower(t), 'v@work.example') OR spoke) AS hit FROM x JOIN l USING (id)")
 def p14(spark, d):
-    return _docs(spark, d).select("id", S.clearly_involved(F.col("text"), Subject(name="the", email="@mail3.example.com")).alias("hit"))
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("id") % 11 + 1).cast("int"))
+    me = Subject(name="The La", email="v@work.example", aliases=("Lala",))
+    return _docs(spark, d).select("id", S.clearly_involved(F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))), me, F.col("id") % 10 == 3).alias("hit"))
 
 
-@query("p15_sheet_rows", f"WITH {A.CELLS}, hit AS (SELECT book, row FROM cells GROUP BY book, row HAVING bool_or(regexp_matches(lower(value), 'license')) OR row = 1) SELECT c.book, c.row, c.col, c.value FROM cells c JOIN hit USING (book, row)")
+@query("p15_sheet_rows", f"WITH {A.CELLS}, hit AS (SELECT book, row FROM cells GROUP BY book, row HAVING bool_or(regexp_matches(lower(value), 'license')) OR row = 1) SELECT c.book, c.sheet, c.row, c.col, c.value FROM cells c JOIN hit USING (book, row)")
 def p15(spark, d):
     return sheets.matching_rows(A.cells(spark, d), ["license"], ["book"])
 
@@ -57,9 +62,13 @@ def p16(spark, d):
     return _docs(spark, d).select("id", S.has_all_words(F.col("text"), [["the", "license"]]).alias("hit"))
 
 
-@query("p17_media", f"WITH {A.FILES} SELECT id, CASE WHEN ext = '.mp4' THEN 'video' END AS media FROM files")
+_EXTENSIONS = ".mp4 .m4v .mov .avi .wmv .mkv .webm .mpg .mpeg .3gp .flv .ts .mts .m2ts .mp3 .wav .m4a .aac .wma .ogg .opus .flac .amr .aiff .pdf .TS .Mp3 .txt".split()
+
+
+@query("p17_media", f"SELECT p_partkey AS id, CASE WHEN k <= 14 OR k = 26 THEN 'video' WHEN k <= 24 OR k = 27 THEN 'audio' END AS media FROM (SELECT p_partkey, p_partkey % {len(_EXTENSIONS)} + 1 AS k FROM part)")
 def p17(spark, d):
-    return A.files(spark, d).select("id", cascade.media_kind(F.col("ext")).alias("media"))
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("p_partkey") % len(_EXTENSIONS) + 1).cast("int"))
+    return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), cascade.media_kind(ext).alias("media"))
 
 
 _NAMED = "name IN ('logo.png', 'image001.png', 'banner_top.gif', 'x/linkedin.png')"
@@ -88,7 +97,7 @@ def p22(spark, d):
 
 @query("d5_content_dedup", "SELECT doc_id AS id, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1 AS is_duplicate FROM (SELECT doc_id, CASE WHEN length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) >= 8 THEN sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) END AS k FROM documents)")
 def d5(spark, d):
-    x = _docs(spark, d).withColumn("k", dedup.content_key(F.col("text")))
+    x = _docs(spark, d).select("id", dedup.content_key(F.col("text")).alias("k"))
     return dedup.mark_duplicates(x, ["k"], ["id"]).select("id", (F.col("k").isNotNull() & F.col("is_duplicate")).alias("is_duplicate"))
 
 
@@ -99,7 +108,11 @@ def d46(spark, d):
     return x.select("id", "same_bytes", "same_text")
 
 
-@query("d7_workbook_dedup", f"WITH {A.CELLS} SELECT book, sha256(string_agg(v, '|' ORDER BY v)) AS content_key FROM (SELECT book, trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) AS v FROM cells) WHERE v <> '' GROUP BY book")
+@query(
+    "d7_workbook_dedup",
+    f"""WITH {A.CELLS}, v AS (SELECT book, sheet, row, col, trim(regexp_replace(value, '\\s{{2,}}', ' ', 'g')) AS v FROM cells), r AS (SELECT book, sheet, row, sha256(CAST(to_json(list({{'col': col, 'v': v}} ORDER BY col)) AS VARCHAR)) AS h FROM v WHERE v <> '' GROUP BY ALL)
+    SELECT book, sha256(CAST(to_json(list({{'sheet': sheet, 'row': row, 'h': h}} ORDER BY sheet, row)) AS VARCHAR)) AS content_key FROM r GROUP BY book""",
+)
 def d7(spark, d):
     return dedup.workbook_key(A.cells(spark, d), ["book"])
 
@@ -192,14 +205,16 @@ def o2(spark, d):
     return _docs(spark, d).select("id", T.natural_key(F.concat(F.lit("Doc-"), F.col("id").cast("string"), F.lit(".txt"))).alias("k"))
 
 
-@query("t10_nfkc")
+@query("t10_nfkc", "SELECT doc_id AS id, trim(regexp_replace('x' || text, '\\s{2,}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM documents")
 def t10(spark, d):
-    return _docs(spark, d).select("id", T.nfkc("text").alias("text"))
+    # Invisible characters of all ranges, and a ligature-free start.
+    noise = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x200B, 0x202A, 0x202E, 0x2060, 0xFEFF, 0x0B, 0x85)))
+    return _docs(spark, d).select("id", T.nfkc(F.concat(F.lit("x" + noise), F.col("text"))).alias("text"))
 
 
-@query("t9_unmojibake")
+@query("t9_unmojibake", "SELECT doc_id AS id, text FROM documents")
 def t9(spark, d):
-    return _docs(spark, d).select("id", T.unmojibake("text").alias("text"))
+    return _docs(spark, d).select("id", T.unmojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("text"))
 
 
 @query("w9_column_pages")
@@ -235,12 +250,21 @@ def s715(spark, d):
     return _docs(spark, d).select("id", scans.visible(name).alias("visible"), F.length(T.strip_page_marks(F.concat("text", F.lit("\n-- 1 of 3 --\n")))).cast("long").alias("n"))
 
 
-@query("s12_chat_export", "SELECT conv_id AS chat, turn AS seq, role AS author FROM conversations")
+@query(
+    "s12_chat_export",
+    """SELECT conv_id AS chat, CASE WHEN turn % 3 = 0 THEN 'm' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE 'id-' || turn END AS id, role AS author, '2026-01-0' || (turn % 9 + 1) AS date, '1' || turn % 10 || ':00' AS time,
+    CASE WHEN turn % 2 = 0 THEN 'all & some' ELSE '' END AS recipient, trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ' || chr(10)) || chr(10) || 'é <end>' AS content FROM conversations""",
+)
 def s12(spark, d):
-    block = F.concat(F.lit('<div class="message"><span class="id">'), F.col("turn").cast("string"), F.lit('</span><b class="author">'), F.col("role"), F.lit('</b><p class="content">x</p></div>'))
+    turn, text = F.col("turn").cast("string"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    block = F.concat(
+        F.lit('<div class="message">none</div><DIV class=" message in"'), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit(' id="id-'), turn, F.lit('"'))), F.lit(' data-x="1"><span class="x message__author">'), F.col("role"), F.lit('</span><p class="message__date">2026-01-0'), (F.col("turn") % 9 + 1).cast("string"),
+        F.lit('</p><span class="message__time">1'), (F.col("turn") % 10).cast("string"), F.lit(":00</span>"), F.when(F.col("turn") % 2 == 0, '<div class="message__recepient">all &amp; some</div>').otherwise(""),
+        F.lit('<div class="message__content y"><style>p {}</style><b>'), text, F.lit('</b><br/>&#233;&nbsp;&lt;end&gt;</div><script type="application/json">{"a": 1}</script></div>'),
+    )
     pages = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "").alias("html"))
     m = pages.select(F.col("conv_id").alias("chat"), F.explode(parsers.parse_chat(F.col("html"))).alias("m"))
-    return m.select("chat", F.col("m.id").cast("long").alias("seq"), F.col("m.author").alias("author"))
+    return m.select("chat", *[f"m.{c}" for c in ("id", "author", "date", "time", "recipient", "content")])
 
 
 @query("s21_image_headers", "SELECT p_partkey AS id, 'png' AS format, CAST(p_partkey AS INT) AS width, CAST(p_size AS INT) AS height FROM part")

@@ -36,9 +36,18 @@ def a10(spark, d):
     return A.source_rows(spark, d).groupBy("kind").agg(F.sum("metadata_duration_ms").alias("metadata_ms"), F.sum("ai_duration_ms").alias("ai_ms"), F.sum(F.greatest(F.lit(0), F.col("files_duration_ms") - F.col("files_paused_ms"))).alias("files_ms"))
 
 
-@query("a12_phase_status", f"WITH {A.SOURCE_ROWS} SELECT request, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE arg_min(status, (id, status)) END AS parse, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'pending' END AS render FROM source_rows GROUP BY request")
+_BUSY = "CASE WHEN status = 'pending' AND files_processed % 7 = 0 THEN 'pending_analysis' WHEN status = 'pending' AND files_processed % 7 = 1 THEN 'scanning_metadata' WHEN status = 'pending' AND files_processed % 7 = 2 THEN 'extracting' WHEN status = 'pending' AND files_processed % 7 = 3 THEN 'analyzing' ELSE status END"
+
+
+@query(
+    "a12_phase_status",
+    f"""WITH {A.SOURCE_ROWS}, s AS (SELECT request, id, wave, {_BUSY} AS status FROM source_rows) SELECT request, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status IN ('scanning_metadata', 'processing', 'pending_analysis')) THEN 'processing' ELSE arg_min(status, (id, status)) END AS parse,
+    CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'extracting') THEN 'extracting' WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'pending' END AS extract,
+    CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_or(status = 'processing') THEN 'processing' ELSE 'pending' END AS render FROM s GROUP BY request""",
+)
 def a12(spark, d):
-    return A.source_rows(spark, d).groupBy("request").agg(insights.parse_status().alias("parse"), insights.render_status("status").alias("render"))
+    s = A.source_rows(spark, d).withColumn("status", F.expr(_BUSY))
+    return s.groupBy("request").agg(insights.parse_status().alias("parse"), insights.extract_status().alias("extract"), insights.render_status("status").alias("render"))
 
 
 @query("a12_combined_status", f"WITH {A.SOURCE_ROWS}, s AS (SELECT request, list(status ORDER BY wave) AS ss FROM source_rows GROUP BY request) SELECT request, CASE WHEN list_contains(ss, 'failed') THEN 'failed' WHEN len(list_filter(ss, lambda x: x <> 'completed')) = 0 THEN 'completed' ELSE 'pending' END AS status FROM s")
@@ -98,7 +107,7 @@ def a20(spark, d):
 
 @query("a14_upload_status", "SELECT o_orderpriority AS source, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS uploaded, count(*) FILTER (o_orderkey % 3 = 0) AS mail, count(*) - count(*) FILTER (o_orderkey % 3 = 0) AS files FROM orders GROUP BY o_orderpriority")
 def a14(spark, d):
-    o = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderstatus") == "F", "uploaded").otherwise("pending").alias("status"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "Emails/").otherwise("Files/"), F.col("o_orderkey").cast("string")).alias("path"))
+    o = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderstatus") == "F", "uploaded").otherwise("pending").alias("status"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "Emails/").otherwise("Documents/"), F.col("o_orderkey").cast("string")).alias("path"))
     return delivery.upload_counts(o)
 
 
@@ -108,11 +117,16 @@ def k8(spark, d):
     return delivery.to_enqueue(o.drop("status"), o.filter("path % 2 = 0")).select("path")
 
 
-@query("k12_deliverable", "SELECT o_orderkey AS id, o_orderkey % 4 IN (0, 1) AND o_orderkey % 5 <> 0 AS deliverable FROM orders")
+@query(
+    "k12_deliverable",
+    """SELECT o_orderkey AS id, len(p) >= 2 AND coalesce(p[1] IN ('Emails', 'Messages', 'Documents', 'For Human Review') AND p[2] <> 'Unconverted', false) AS deliverable FROM (SELECT o_orderkey,
+    list_filter(regexp_split_to_array((['Emails/', 'Messages/', 'Documents/', 'For Human Review/', 'Discarded/', 'Unconverted/', 'Files/', 'tmp/'])[o_orderkey % 8 + 1] || (['a/b.pdf', 'Unconverted/b.pdf', 'b/Unconverted/c.pdf', '', 'b\\c.pdf'])[o_orderkey % 5 + 1], '[\\\\/]'), lambda x: x <> '') AS p FROM orders)""",
+)
 def k12(spark, d):
-    top = F.element_at(F.array(*map(F.lit, ("Emails", "Files", "Discarded", "tmp"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    path = F.concat_ws("/", top, F.when(F.col("o_orderkey") % 5 == 0, "Unconverted").otherwise("a"), F.lit("b.pdf"))
-    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), delivery.deliverable(path).alias("deliverable"))
+    k = F.col("o_orderkey")
+    tops, rest = ("Emails/", "Messages/", "Documents/", "For Human Review/", "Discarded/", "Unconverted/", "Files/", "tmp/"), ("a/b.pdf", "Unconverted/b.pdf", "b/Unconverted/c.pdf", "", "b\\c.pdf")
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    return A.table(spark, d, "orders").select(k.alias("id"), delivery.deliverable(F.concat(one_of(tops), one_of(rest))).alias("deliverable"))
 
 
 @query("t20_unique_names", "SELECT p_partkey AS id, p_brand || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..tables import shared_folder
+
 
 def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The files of one table in a folder as a stream. ts without a zone is cast: watermarks need one."""
@@ -23,10 +25,21 @@ def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and gives its result as a DataFrame."""
-    spark, name = stream.sparkSession, f"feed_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what there is and gives its result as a table in the shared folder, which also holds the stream's own checkpoint.
+
+    Each batch writes a folder of its own, or in complete mode the one result, so a batch that is repeated changes nothing.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/epoch={0 if mode == 'complete' else epoch}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
 def tumbling(stream: DataFrame, width: str, late: str, *keys: str) -> DataFrame:
@@ -64,14 +77,19 @@ def on_change(stream: DataFrame, key: str, column: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} long, {column} string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def snapshot_feed(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], seconds: float = 1.5):
-    """Emits the whole aggregate whenever it differs from the one before. aggregate has few rows: they are compared on the driver."""
+def snapshot_feed(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], seconds: float | None = 1.5):
+    """Emits the whole aggregate whenever it differs from the one before, every so many seconds, or once over what there is (seconds None).
+
+    The snapshots are compared by one number, an order-free sum of row hashes with the count; no row comes to the driver.
+    """
     last: list = [None]
 
     def batch(df: DataFrame, epoch: int) -> None:
-        rows = sorted(map(tuple, df.collect()), key=str)
-        if rows != last[0]:
-            last[0] = rows
+        sign = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        if sign != last[0]:
+            last[0] = sign
             emit(df, epoch)
 
-    return aggregate(stream).writeStream.outputMode("complete").foreachBatch(batch).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
+    folder = f"{shared_folder(stream.sparkSession)}/feed-{uuid.uuid4().hex}"
+    writer = aggregate(stream).writeStream.outputMode("complete").option("checkpointLocation", folder).foreachBatch(batch)
+    return writer.trigger(**({"availableNow": True} if seconds is None else {"processingTime": f"{int(seconds * 1000)} milliseconds"})).start()

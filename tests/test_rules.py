@@ -172,3 +172,110 @@ def test_sample_keeps_later_mentions(spark):
     text = "h" * 30 + "\n" + "\n".join(["x" * 9, "has Vera", "vera again", "z" * 50])
     assert one(spark, T.sample(F.col("x"), ["vera"], 50, 30, 5, 8), x=text) == "h" * 30 + "\n…\nhas Vera\nvera aga"
     assert one(spark, T.sample(F.col("x"), ["vera"], 500, 30, 5, 8), x=text) == text
+
+
+def test_pictures_and_unreadable_files(spark):
+    rows = [
+        (1, "a.png", ".png", None, 90_000, False, 800, 600, None, None), (2, "b.png", ".png", None, 90_000, False, None, None, None, None), (3, "logo.png", ".png", None, 9_000, False, 300, 90, None, None),
+        (4, "c.png", ".png", None, 90_000, False, 500, 400, "decoration", None), (5, "d.png", ".png", None, 90_000, False, 800, 600, None, "discard"), (6, "e.pdf", ".pdf", None, 9, False, None, None, None, None),
+        (7, "f.xlsx", ".xlsx", "nobody", 9, False, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, name string, ext string, text string, bytes long, protected boolean, width int, height int, vision string, picture_verdict string")
+    got = {r.id: (r.state, r.rule, r.decided_by) for r in cascade.file_cascade(df, ReviewConfig(subject=PERSON)).collect()}
+    assert got[1] == got[6] == ("kept", "files_filter", "rule") and got[2][1] == "unreadable_image" and got[3][1] == got[4][1] == "signature_image"
+    assert got[5] == ("discarded", "ai_file", "judge") and got[7][1] == "subject_absent"
+    client = {r.id: r.rule for r in cascade.file_cascade(df, ReviewConfig(subject=PERSON, client_case=True)).collect()}
+    assert client[7] == "subject_absent" and client[6] == "files_filter"
+
+
+def test_byte_copies_count_against_kept_files(spark):
+    rows = [(1, "a.mp4", ".mp4", "", 9, False, "h"), (2, "b.txt", ".txt", "vera wrote this", 9, False, "h"), (3, "c.mp4", ".mp4", "", 9, False, "h"), (4, "d.txt", ".txt", "vera", 9, True, "h")]
+    df = spark.createDataFrame(rows, "id long, name string, ext string, text string, bytes long, protected boolean, content_hash string")
+    assert {r.id: r.rule for r in cascade.file_cascade(df, ReviewConfig(subject=PERSON)).collect()} == {1: "unsupported_type", 2: "files_filter", 3: "dup", 4: "password"}
+
+
+def test_confidential_mail_never_stays(spark):
+    fold = lambda v, s, p: tuple(one(spark, verdicts.fold_mail(F.col("v"), F.col("s"), F.lit("r"), F.col("p")), v=v, s=s, p=p))
+    assert fold("keep", "legal_privileged", True) == ("discard", "Confidential (legal_privileged): r", False, True)
+    assert fold("keep", "made_up", False) == ("keep", "r", False, False) and fold("discard", "none", True) == ("discard", "r", True, False)
+
+
+def test_workbooks_differ_by_place(spark):
+    def key(*cells):
+        df = spark.createDataFrame([("b", *c) for c in cells], "book string, sheet string, row int, col int, value string")
+        return dedup.workbook_key(df, ["book"]).first().content_key
+
+    one_ = key(("S", 1, 1, "a"), ("S", 1, 2, "b"))
+    assert one_ == key(("S", 1, 2, " b "), ("S", 1, 1, "a​"), ("S", 2, 1, "  "))
+    assert len({one_, key(("S", 1, 1, "b"), ("S", 1, 2, "a")), key(("T", 1, 1, "a"), ("S", 1, 2, "b")), key(("S", 1, 1, "a|b"))}) == 4
+
+
+def test_broken_entries_and_names_of_archives(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("good.txt", b"1")
+        z.writestr("bad.txt", b"content that will be damaged")
+        z.writestr("../evil.txt", b"2")
+        z.writestr("Comitê.txt", b"3")
+    raw = bytearray(out.getvalue())
+    raw[raw.index(b"content that")] ^= 1
+    df = spark.createDataFrame([("x.zip", raw)], "path string, content binary")
+    got = {r.path: r.state for r in parsers.expand_archives(df).collect()}
+    assert got == {"x.zip/good.txt": "kept", "x.zip/bad.txt": "zip_error", "x.zip/../evil.txt": "unsafe_path", "x.zip/Comitê.txt": "kept"}
+    assert len(parsers.safe_path("a/" + "x" * 300 + ".txt").split("/")[1].encode()) <= 240 and parsers.safe_path("/etc/x") is None
+
+
+def test_password_marks(spark):
+    import struct
+
+    def ole(name, data):
+        sector = lambda b: b + bytes(512 - len(b))
+        entry = lambda n, kind, first, size: (n.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HB", len(n) * 2 + 2, kind) + bytes(49) + struct.pack("<IQ", first, size)
+        head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(22) + struct.pack("<H", 9) + bytes(16) + struct.pack("<I", 1) + bytes(4) + struct.pack("<I", 64) + bytes(16) + struct.pack("<I", 0) + b"\xff" * 432
+        fat = struct.pack("<3I", 0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE) + b"\xff" * 500
+        return sector(head[:512]) + fat + sector(entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry(name, 2, 2, max(64, len(data)))) + sector(data)
+
+    rar5 = b"Rar!\x1a\x07\x01\x00" + bytes(4) + bytes([2, 4, 0])
+    rar4 = b"Rar!\x1a\x07\x00" + struct.pack("<HBHH", 0, 0x73, 0x80, 13) + bytes(6)
+    seven = b"7z\xbc\xaf\x27\x1c" + bytes(6) + struct.pack("<QQ", 0, 8) + bytes(4) + b"..\x06\xf1\x07\x01.."
+    yes = [ole("EncryptedPackage", b"x"), ole("WordDocument", bytes(10) + b"\x00\x01"), ole("Workbook", struct.pack("<HH", 0x809, 4) + bytes(4) + struct.pack("<HH", 0x2F, 2) + bytes(2)), rar5, rar4, seven]
+    no = [ole("WordDocument", bytes(12)), ole("Workbook", struct.pack("<HH", 0x809, 4) + bytes(4) + struct.pack("<HH", 0x0A, 0)), rar5[:8], b"plain text", b""]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(yes + no)], "i int, content binary")
+    got = {r.i: r.p for r in df.select("i", parsers.protected("content").alias("p")).collect()}
+    assert [got[i] for i in range(len(yes + no))] == [True] * len(yes) + [False] * len(no)
+
+
+def test_mail_nested_deep_is_all_there(spark):
+    raw = b"Subject: 30\r\n\r\nend"
+    for i in reversed(range(30)):
+        raw = b"Subject: %d\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=Q%d\r\n\r\n--Q%d\r\nContent-Type: message/rfc822\r\n\r\n%s\r\n--Q%d--\r\n" % (i, i, i, raw, i)
+    df = spark.createDataFrame([("m.eml", bytearray(raw))], "path string, content binary")
+    assert [r.subject for r in parsers.parse_mail(df).orderBy("depth").collect()] == [str(i) for i in range(31)]
+
+
+def test_snapshots_are_emitted_when_they_change(spark, tmp_path):
+    from sievetide.streaming import feeds
+
+    seen = []
+    for i, v in enumerate((1, 0, 2)):  # the second file changes nothing that the aggregate shows
+        spark.createDataFrame([(v,)], "v long").write.parquet(str(tmp_path / f"in/p{i}"))
+    stream = spark.readStream.schema("v long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feed = feeds.snapshot_feed(stream, lambda s: s.agg(F.sum("v").alias("total")), lambda df, epoch: seen.append(df.first().total), seconds=None)
+    feed.awaitTermination()
+    assert seen[-1] == 3 and all(a != b for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_the_rest_lives_without_training_data(tmp_path):
+    """On a copy without the subpackage llm and the pipeline's operators, the entry has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    shutil.copytree(root / "sievetide", tmp_path / "sievetide", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 140 and set(o) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
