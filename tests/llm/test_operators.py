@@ -372,7 +372,8 @@ def test_batches_keep_budget_and_rows(spark, docs):
 
 
 def test_base_scores_equal_brute_force(spark, sf, texts):
-    words = {d: context_mix.WORDS.findall(t.encode().lower()) + [b"\n"] for d, t in texts.items()}
+    words = {d: near_dup.WORDS.findall(t) for d, t in texts.items()}
+    words = {d: [x.encode().lower() for x in w] + [b"\n"] for d, w in words.items()}
     counts = Counter()
     for d, w in words.items():
         if zlib.crc32(str(d).encode()) % 5 != 1:
@@ -387,30 +388,108 @@ def test_base_scores_equal_brute_force(spark, sf, texts):
         assert r.score < 0 and r.bits_per_byte > 0
 
 
-def test_speller_is_a_distribution():
-    counts = np.random.default_rng(2).integers(0, 50, (context_mix.STARTS[-1], 2)).astype(np.float32)
-    m = context_mix.Mixer(counts)
-    # All last bytes of a word: with a common beginning their probabilities add up to that of the beginning.
-    p = [10 ** m.score([b"ab" + bytes([c])])[0] for c in range(256)]
-    first, bits, slots = context_mix.spelled([b"ab" + bytes([c]) for c in range(256)])
-    stretched, chosen, group = m.inputs(bits, slots)
-    q = np.log10(m.refined(m.mix(stretched, chosen), group)).reshape(-1, 8).sum(1).reshape(256, 4)
-    assert sum(10 ** q[:, 2]) == pytest.approx(1, abs=1e-6) and all(0 < x < 1 for x in p)
-
-
-def test_learning_helps():
-    rng = random.Random(6)
-    syllables = ["tion", "the", "ing", "er", "re", "st"]
-    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(1, 5))).encode() for _ in range(4000)})
-    rng.shuffle(words)
-    assert len(words) > 1200
-    counts = np.zeros((context_mix.STARTS[-1], 2), np.float32)
-    _, bits, slots = context_mix.spelled(words[:900])
-    np.add.at(counts.reshape(-1), (slots * 2 + bits).ravel(), np.float32(1))
-    m, curve = context_mix.Mixer(counts), np.broadcast_to(np.eye(4) * 10.0, (context_mix.SETS, 4, 4)).copy()
-    before = m.score(words[900:]).mean()
-    m.learn(words[:900], curve)
-    assert m.score(words[900:]).mean() > before
+def plain_scores(rows):
+    """The scores of (doc_id, text) by one process, in one go; tunes (held by Spark's hash) are given with them."""
+    c = context_mix
+    texts = [(d, c.Text(t), tune) for d, t, tune in rows]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _, _ in texts}
+    train = [(t, tune) for d, t, tune in texts if not held[d]]
+    counts = Counter(w for t, _ in train for w in t.words)
+    lines = Counter(x for t, _ in train for x in t.lines if x)
+    n = sum(counts.values())
+    coded = {w: k for w, k in counts.items() if k >= max(c.LEAST, math.ceil(n * c.FREQUENT))}
+    v = c.Vocabulary(coded, n - sum(coded.values()))
+
+    def fit(net, items):
+        sums, cells = np.zeros(net.starts[-1] * 2, np.int64), np.zeros(c.STATES**c.K, np.int64)
+        for x in items(False):
+            net.count(sums, *x)
+        first = c.Net(net.code, net.tables, sums)
+        for x in items(True):
+            net.count(sums, *x)
+            first.meet(cells, *x)
+        return c.Net(net.code, net.tables, sums, c.fitted(cells))
+
+    net = fit(c.Net(v.code, c.WORD_TABLES), lambda tune: ((*v.symbols([t])[:2], None) for t, k in train if k is tune))
+    rare = [w for w in counts if w not in coded]
+    return texts, held, counts, lines, n, coded, v, net, fit, rare
+
+
+def test_scores_equal_a_plain_version_however_rows_are_dealt(spark, docs):
+    c = context_mix
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = [tuple(r) for r in keyed.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(c.TUNES)) == 0).collect()]
+    texts, held, counts, lines, n, coded, v, net, fit, rare = plain_scores(rows)
+    tuned = {bytes(r[0]): r[1] for r in spark.createDataFrame([(bytearray(w),) for w in rare], "w binary").select("w", F.pmod(F.xxhash64("w"), F.lit(c.TUNES)) == 0).collect()}
+
+    def spelled(tune):
+        for w in rare:
+            if tuned[w] is tune:
+                symbols, contexts, _ = c.spelled([w])
+                yield symbols, contexts, np.full(len(symbols), counts[w], np.int32)
+
+    speller = c.Speller(fit(c.Net(c.byte_code(coded), c.BYTE_TABLES), spelled))
+    share = min(0.99, max(0.01, sum(k for k in lines.values() if k > 1) / sum(lines.values())))
+    want = {}
+    for d, t, _ in texts:
+        symbols, contexts, text, place, flat = v.symbols([t])
+        logs, at, score, own = net.online_scores(symbols, contexts, text, place), 0, 0.0, Counter(x for x in t.lines if x)
+        logs[symbols == 0] += speller.scores([w for w, s in zip(flat, symbols, strict=True) if not s])
+        sums = {}
+        for size, line in zip(t.sizes, t.lines, strict=True):
+            sums.setdefault(line, []).append(logs[at : at + size].sum())
+            at += size
+        for line, xs in sums.items():
+            others = lines[line] - (0 if held[d] else own[line]) if line else 0
+            p = 10 ** (sum(xs) / len(xs)) * (1 - share) + share * others / sum(lines.values())
+            alone = sum(xs) / len(xs) + math.log10(1 - share)
+            score += sum(xs) if line is None else len(xs) * (math.log10(p) if others > 0 else alone)
+        want[d] = score
+    for parts in (1, 3, 7):
+        got = {r.doc_id: r.score for r in c.lm_scores(docs.repartition(parts)).collect()}
+        assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want), parts
+
+
+def test_word_order_counts(spark, docs):
+    text = docs.filter("length(text) BETWEEN 2000 AND 4000").first().text
+    turned = " ".join(reversed(text.split()))
+    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(10**6 + 1, turned)], "doc_id long, text string"))
+    own = docs.filter(F.col("text") == text).first().doc_id
+    got = {r.doc_id: r.score for r in context_mix.lm_scores(df).filter(F.col("doc_id").isin(own, 10**6 + 1)).collect()}
+    assert abs(got[own] - got[10**6 + 1]) > 1
+
+
+def test_codes_are_distributions():
+    rng = np.random.default_rng(2)
+    for n, depth in ((1, 5), (2, 5), (300, 5), (300, 12), (5000, 8)):
+        counts = rng.integers(1, 1000, n)
+        code = context_mix.Code(counts, depth)
+        # With even bits and the shares of what is open below, all symbols have probability one.
+        assert sum(0.5**code.size * 10**code.rest) == pytest.approx(1)
+        of, node, stem, bit, first = code.expand(np.arange(n))
+        paths = Counter(of.tolist())
+        assert all(paths[i] == code.size[i] for i in range(n)) and len(first) == n and node.max(initial=1) < 32
+
+
+def test_symbols_are_distributions():
+    c, rng = context_mix, np.random.default_rng(3)
+    code = c.Code(rng.integers(1, 1000, 500), 8)
+    net = c.Net(code, (10, 10, 10), rng.integers(0, 50, 3 * 2 * 2 ** (10 + c.STOREY)), c.fitted(rng.integers(0, 3, c.STATES**c.K)))
+    contexts = np.repeat(rng.integers(0, 2**32, (3, 1), dtype=np.uint32), 500, axis=1)
+    assert sum(10 ** net.scores(np.arange(500), contexts)) == pytest.approx(1, abs=1e-4)
+
+
+def test_fitting_helps():
+    c, rng = context_mix, np.random.default_rng(4)
+    states = rng.integers(0, c.STATES, (3, 40_000))
+    # Bits that came as the first context says.
+    p = 1 / (1 + np.exp(-c.Net.stretch(states[0])))
+    came = rng.random(40_000) < p
+    as_it_was = np.where(came, states, states ^ int(c.FLIP))
+    cells = (as_it_was[0] * c.STATES + as_it_was[1]) * c.STATES + as_it_was[2]
+    total = c.fitted(np.bincount(cells, minlength=c.STATES**c.K))[cells]
+    even = sum(c.Net.stretch(as_it_was[j]) for j in range(3)) / 3
+    assert c.log10_of(total).mean() > c.log10_of(even).mean() + 0.05
 
 
 # Line dedup
