@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Words are runs of characters other than the space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,26 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written as a table to the cluster's shared checkpoint folder and read again, so that a lost executor loses nothing.
 
-    The folder of this application's tables goes when Python exits.
+    The folder of this application's tables goes when Python exits; without spark.checkpoint.dir only a local master has one.
     """
-    spark = df.sparkSession
-    own = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/tables-{spark.sparkContext.applicationId}"
-    if own not in _folders:
-        _folders.add(own)
-        atexit.register(_delete, spark, own)
-    path = f"{own}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_folders: set[str] = set()
+    return written(df)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None and not context._jsc.sc().isStopped():
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def fenced(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under names that no operator gives, and the new name of each: whatever docs calls its columns, none clashes."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def key_text(*parts) -> Column:
@@ -68,8 +56,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def sliced(batches, rows: int = 500):
-    """Arrow batches in slices, so that a worker turns few long texts into Python strings at a time."""
+def sliced(batches, rows: int = 500, n_bytes: int = 1 << 25):
+    """Arrow batches in slices of at most so many rows, and of about so many bytes, so that a worker turns few long texts into Python strings at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        own = max(1, min(rows, n_bytes * batch.num_rows // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, own):
+            yield batch.slice(i, own)

@@ -7,7 +7,8 @@ occurs at two positions can repeat. Their positions are joined by the hash of th
 the lines of a match, and those that end at them, extend it both ways until the lines differ: together they
 cover exactly the lines that stand in a run of MIN_WORDS words or more which occurs earlier, in any document.
 
-All of it is DataFrame operations. Every join has at most one row for each key on one side.
+Lines and windows are told apart by 128 bits of hashes with their words and characters. All of it is DataFrame operations.
+Every join has at most one row for each key on one side.
 """
 
 from __future__ import annotations
@@ -16,21 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, checkpointed, read_table
+from .common import WORD, checkpointed, fenced, read_table
 
 MIN_WORDS = 50
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("ld_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("ld_hash", F.xxhash64("ld_text"))
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with ld_text, ld_hash and doc_id."""
+    return docs.withColumn("ld_text", F.coalesce(F.col(text), F.lit(""))).withColumn("ld_hash", F.xxhash64("ld_text")).withColumn("doc_id", F.col(doc_id))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, ld_hash, pos, h, nw, nc: the lines with a word, once for each different document, partitioned by document."""
     lines = docs.select("doc_id", "ld_hash", F.posexplode(F.split("ld_text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("nw", F.regexp_count("line", F.lit(WORD))).filter("nw > 0")
-    lines = lines.select("doc_id", "ld_hash", "pos", F.xxhash64("line").alias("h"), "nw", F.length("line").alias("nc")).repartition("doc_id", "ld_hash")
-    return lines.groupBy("doc_id", "ld_hash", "pos").agg(F.first("h").alias("h"), F.first("nw").alias("nw"), F.first("nc").alias("nc"))
+    lines = lines.select("doc_id", "ld_hash", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), "nw", F.length("line").alias("nc")).repartition("doc_id", "ld_hash")
+    return lines.groupBy("doc_id", "ld_hash", "pos").agg(F.first("h").alias("h"), F.first("h2").alias("h2"), F.first("nw").alias("nw"), F.first("nc").alias("nc"))
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
@@ -42,7 +44,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     def window(frame, name: str) -> Column:
         return F.struct(
             F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.sum("nw").over(frame).alias("words"),
-            F.struct(F.xxhash64(F.collect_list("h").over(frame)).alias("h"), F.sum("nw").over(frame).alias("nw"), F.sum("nc").over(frame).alias("nc")).alias("key"),
+            F.struct(F.xxhash64(F.collect_list("h").over(frame)).alias("h"), F.xxhash64(F.lit(7), F.collect_list("h2").over(frame)).alias("h2"), F.sum("nw").over(frame).alias("nw"), F.sum("nc").over(frame).alias("nc")).alias("key"),
             F.min(F.struct("h", "pos")).over(frame).alias("print"),
         ).alias(name)
 
@@ -55,10 +57,10 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, ld_hash, first, last: the maximal runs of lines to delete, of docs with the columns of _keyed."""
-    windows = _windows(_lines(docs), min_words)
+    windows = checkpointed(_windows(_lines(docs), min_words))
     place = F.struct("doc_id", "ld_hash", "print_pos")
-    prints = windows.groupBy("print_hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("print_hash")
-    # Both are written, so that the join reads plain shuffles, of which Spark can split a very common window's rows.
+    # Both sides of a join are written, so that it reads plain shuffles, of which Spark can split a very common print's or window's rows.
+    prints = checkpointed(windows.groupBy("print_hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("print_hash"))
     met = checkpointed(windows.join(prints, "print_hash", "left_semi").select("doc_id", "ld_hash", "first", "last", "key"))
     begins = F.struct("doc_id", "ld_hash", "first")
     earliest = checkpointed(met.groupBy("key").agg(F.min(begins).alias("at"), F.max(begins).alias("to")).filter("at != to").select("key", "at"))
@@ -79,15 +81,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     results. A null or empty text has nothing to delete and stays as it is; a document may end up empty. An empty
     table gives an empty table.
     """
-    keyed = _keyed(docs.drop("n_lines", "n_deleted"))
+    own, name = fenced(docs)
+    keyed = _keyed(own, name["text"], name["doc_id"])
     runs = repeated_runs(keyed.select("doc_id", "ld_hash", "ld_text"), min_words)
     runs = runs.groupBy(F.col("doc_id").alias("ld_id"), F.col("ld_hash").alias("ld_other")).agg(F.collect_list(F.struct("first", "last")).alias("ld_runs"))
     joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("ld_id")) & (F.col("ld_hash") == F.col("ld_other")), "left")
     lines = F.split("ld_text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("ld_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
     out = joined.withColumn("ld_kept", F.when(F.col("ld_runs").isNotNull(), kept)).withColumn("n_lines", F.size(lines))
+    text = F.when(F.col("ld_kept").isNull(), F.col(name["text"])).otherwise(F.array_join("ld_kept", "\n"))
     return out.select(
-        *[F.when(F.col("ld_kept").isNull(), F.col(c)).otherwise(F.array_join("ld_kept", "\n")).alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_deleted")],
+        *[(text if c == "text" else F.col(name[c])).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")],
         "n_lines", F.when(F.col("ld_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("ld_kept")).cast("int").alias("n_deleted"),
     )
 

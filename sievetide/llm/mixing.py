@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_unit, key_text, read_table
+from .common import checkpointed, fenced, hash_unit, key_text, read_table
 
 #: Rates beyond this are the sum of several Poisson draws with rates of at most this.
 PART = 16.0
@@ -13,15 +13,18 @@ PART = 16.0
 TERMS = 80
 #: So many sources at most are broadcast; beyond it the rates are joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
+#: Copies of a document that one task unfolds.
+BLOCK = 1000
 SEED = 20261
 
 
-def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, default_weight: float = 1.0, budget: float = 1.0) -> DataFrame:
-    """One row for each source: mix_source and rate, its mean repetition rate.
+def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, default_weight: float = 1.0, budget: float = 1.0) -> tuple[DataFrame, float]:
+    """One row for each source: mix_source and rate, its mean repetition rate; and the highest rate.
 
     The rate is budget * all bytes * weight / (all weights * the source's bytes), so that a source's expected
     bytes are its share of the budget. An empty text counts as one byte. A null source is a source of its own.
-    Up to MAX_BROADCAST_SOURCES sources come as a broadcast table; beyond that they stay distributed.
+    Up to MAX_BROADCAST_SOURCES sources come as a broadcast table; beyond that they are a written table, so that the join
+    with it reads plain shuffles, of which Spark can split a hot source's rows.
     """
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
     sums = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(size).alias("source_bytes"))
@@ -38,7 +41,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         total, weights_sum = sums.agg(F.sum("source_bytes"), F.sum("weight")).first()
     rate = F.lit(float(budget)) * F.lit(total or 0) * F.col("weight") / (F.lit(weights_sum or 1.0) * F.col("source_bytes"))
     rates = sums.select("mix_source", rate.alias("rate"))
-    return F.broadcast(rates) if small else rates
+    rates = rates if small else checkpointed(rates)
+    return F.broadcast(rates) if small else rates, rates.agg(F.max("rate")).first()[0] or 0.0
 
 
 def poisson_count(rate: Column, seed_text: Column) -> Column:
@@ -63,21 +67,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default
 
     Adds copy (1, 2, ...) and shuffle_key to the columns of docs; rows lie in partitions by the key's hash and are
     sorted by it there, so each partition is a random part in random order. The count depends on the seed, the
-    doc_id and the text only: rows equal in both get equal counts. Nulls: a null source is a source of its own, a
+    doc_id and the text only: rows equal in both get equal counts. Columns of docs named copy or shuffle_key are replaced. Nulls: a null source is a source of its own, a
     null doc_id is hashed as the word null, a null text as an empty one. An empty table gives an empty table. Hash
     seeds make a run repeatable after executors are lost.
     """
-    rates = source_rates(docs, weights, default_weight, budget)
-    seed_text = key_text(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    out = (
-        docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"]), "inner")
-        .withColumn("mix_seed", seed_text)
-        .withColumn("mix_count", poisson_count(F.col("rate"), F.col("mix_seed")))
-        .filter("mix_count > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.col("mix_seed"), F.col("copy").cast("string"))))
-    )
-    return out.select(*[docs[c] for c in docs.columns if c not in ("copy", "shuffle_key")], "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    own, name = fenced(docs)
+    text = F.col(name["text"])
+    rates, most = source_rates(docs.select("text", "source"), weights, default_weight, budget)
+    seed_text = key_text(seed, F.col(name["doc_id"]), F.md5(F.coalesce(text, F.lit(""))))
+    drawn = own.join(rates, F.col(name["source"]).eqNullSafe(F.col("mix_source"))).withColumn("seed", seed_text).withColumn("n", poisson_count(F.col("rate"), F.col("seed"))).filter("n > 0").drop("rate", "mix_source")
+    first, last = F.lit(1), F.col("n")
+    if most > BLOCK:
+        # Some documents come so often that one task would be long at it: blocks of copies are dealt before they are unfolded.
+        drawn = drawn.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")))).repartition("seed", "block")
+        first, last = F.col("block") * BLOCK + 1, F.least(F.col("n"), (F.col("block") + 1) * BLOCK)
+    out = drawn.withColumn("copy", F.explode(F.sequence(first, last))).withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.col("seed"), F.col("copy").cast("string"))))
+    kept = [F.col(name[c]).alias(c) for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    return out.select(*kept, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, checkpointed, key_text, read_table, sliced, small_batches
+from .common import WORD, checkpointed, fenced, key_text, read_table, sliced, small_batches
 
 WORDS = re.compile(WORD)
 SHINGLE = 5
@@ -246,9 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # The least ones are written, so that the joins read plain shuffles, of which Spark can split a hub's neighbours.
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = checkpointed(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = checkpointed(small.filter("a != b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -318,6 +319,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = near_duplicates(docs, similarity)
     chosen = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"))
     place = key_text(F.col("k.doc_id"), F.lower(F.hex("k.node")))
-    own = docs.withColumn("nd_place", key_text(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    kept = own.join(chosen.select(place.alias("nd_place")), "nd_place", "left_semi")
-    return kept.withColumn("nd_row", F.row_number().over(W.partitionBy("nd_place").orderBy(F.lit(0)))).filter("nd_row = 1").select(*docs.columns)
+    own, name = fenced(docs)
+    keyed = own.withColumn("place", key_text(F.col(name["doc_id"]), F.md5(F.coalesce(F.col(name["text"]), F.lit("")))))
+    kept = keyed.join(checkpointed(chosen.select(place.alias("place"))), "place", "left_semi")
+    kept = kept.withColumn("row", F.row_number().over(W.partitionBy("place").orderBy(F.lit(0)))).filter("row = 1")
+    return kept.select(*[F.col(name[c]).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hash_u32, key_text, read_table
+from .common import fenced, hash_u32, key_text, read_table
 
 #: Lengths up to this have histogram cells of their own; beyond it a cell keeps the leading EXACT_BITS bits.
 EXACT_BITS = 12
@@ -72,19 +72,20 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: Column | None = None, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, shard_rows: int = SHARD_ROWS, seed: int = SEED, tie: list[Column] | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: str | None = None, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """Adds n_tokens, bucket, bucket_len, shard, batch and slot to the columns of docs.
 
     A bucket holds the lengths up to bucket_len and above the bucket before. Its rows are dealt by hash into
     shards of about shard_rows, so no task ever holds a bucket; in a shard they are numbered in hash order and cut
     into batches of max(1, token_budget // bucket_len) rows, each padded to bucket_len. A document longer than the
     budget is a batch of its own: nothing is cut or dropped. Only the histogram comes to the driver, at most 213k
-    cells for any corpus. Null and empty texts have length 1. Rows equal in doc_id and tie share their place in
-    the order. An empty table gives an empty table. Columns of docs with the same names are replaced.
+    cells for any corpus. length: the column of token counts, at least 1 each; without one, a quarter of the bytes. Null
+    and empty texts have length 1; a null doc_id is dealt by its text. Rows equal in doc_id and text share a shard and
+    stand beside each other. An empty table gives an empty table. Columns of docs with the names of new ones are replaced.
     """
-    n = length if length is not None else token_estimate(F.col("text"))
-    new = ["n_tokens", "bucket", "bucket_len", "shard", "batch", "slot"]
-    rows = docs.drop(*new).withColumn("n_tokens", n)
+    own, name = fenced(docs)
+    text, doc_id = F.col(name["text"]), F.col(name["doc_id"])
+    rows = own.withColumn("n_tokens", token_estimate(text) if length is None else F.greatest(F.col(name[length]), F.lit(1)).cast("long"))
     cells = rows.groupBy(length_cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
     cells.sort(key=lambda r: r["cell"])
     lengths, counts, sums = (np.array([r[c] for r in cells], np.int64) for c in ("longest", "n", "tokens"))
@@ -99,19 +100,20 @@ def pack(docs: DataFrame, length: Column | None = None, n_buckets: int = N_BUCKE
             out = F.when(F.col("n_tokens") <= end, value).otherwise(out)
         return out.cast(kind)
 
-    key = key_text(seed, F.col("doc_id"), *(tie or []))
-    order = W.partitionBy("bucket", "shard").orderBy("pack_key", F.col("doc_id").asc_nulls_first(), *(tie or []))
-    return (
+    key = key_text(seed, doc_id, F.md5(F.coalesce(text, F.lit(""))))
+    order = W.partitionBy("bucket", "shard").orderBy("key", doc_id.asc_nulls_first())
+    new = ["n_tokens", "bucket", "bucket_len", "shard", "batch", "slot"]
+    out = (
         rows.withColumn("bucket", by_bucket(list(range(1, len(ends) + 1)), "int"))
         .withColumn("bucket_len", by_bucket(ends, "long"))
-        .withColumn("pack_key", F.md5(key))
+        .withColumn("key", F.md5(key))
         .withColumn("shard", (hash_u32(key) % by_bucket(shards, "long")).cast("int"))
-        .withColumn("pack_row", F.row_number().over(order) - 1)
-        .withColumn("pack_cap", F.greatest(F.floor(F.lit(token_budget) / F.col("bucket_len")), F.lit(1)).cast("long"))
-        .withColumn("batch", F.floor(F.col("pack_row") / F.col("pack_cap")).cast("long"))
-        .withColumn("slot", (F.col("pack_row") % F.col("pack_cap")).cast("int"))
-        .drop("pack_key", "pack_row", "pack_cap")
+        .withColumn("row", F.row_number().over(order) - 1)
+        .withColumn("cap", F.greatest(F.floor(F.lit(token_budget) / F.col("bucket_len")), F.lit(1)).cast("long"))
+        .withColumn("batch", F.floor(F.col("row") / F.col("cap")).cast("long"))
+        .withColumn("slot", (F.col("row") % F.col("cap")).cast("int"))
     )
+    return out.select(*[F.col(name[c]).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs).select("doc_id", "source", "n_tokens", "bucket", "bucket_len", "shard", "batch", "slot", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
 
 
-def pack_sql(table: str = "documents", columns: str = "doc_id, source", tie: str = "") -> str:
+def pack_sql(table: str = "documents", columns: str = "doc_id, source") -> str:
     """The same rows by DuckDB: the dynamic programme as one CTE for each number of buckets."""
     rounds = "".join(
         f""",
@@ -130,7 +132,7 @@ b{k} AS (SELECT j, min(cost) AS cost, arg_min(i, (cost, i)) AS split FROM (
     )
     chain = "".join(f", e{k - 1} AS (SELECT split AS j FROM b{k} JOIN e{k} USING (j))" for k in range(N_BUCKETS, 1, -1))
     ends = " UNION ALL ".join(f"SELECT j FROM e{k}" for k in range(1, N_BUCKETS + 1))
-    key = f"concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'){tie and f', CAST({tie} AS VARCHAR)'})"
+    key = f"concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))"
     return f"""
 WITH t AS (SELECT *, CAST(greatest(ceil(strlen(coalesce(text, '')) / 4.0), 1) AS BIGINT) AS n_tokens, {key} AS k FROM {table}),
 celled AS (SELECT n_tokens, CAST(ceil(n_tokens / w) * w AS BIGINT) AS cell FROM (SELECT n_tokens, CAST(pow(2, greatest(floor(log2(n_tokens)) - {EXACT_BITS - 1}, 0)) AS BIGINT) AS w FROM t)),
@@ -142,6 +144,6 @@ ends AS (SELECT row_number() OVER (ORDER BY j) AS bucket, longest AS bucket_len
 placed AS (SELECT t.*, (SELECT min(bucket) FROM ends WHERE bucket_len >= n_tokens) AS bucket FROM t),
 sized AS (SELECT bucket, greatest(CAST(ceil(count(*) / {float(SHARD_ROWS)}) AS BIGINT), 1) AS shards FROM placed GROUP BY bucket),
 dealt AS (SELECT placed.*, ends.bucket_len, CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % shards AS shard, greatest({TOKEN_BUDGET} // ends.bucket_len, 1) AS cap FROM placed JOIN ends USING (bucket) JOIN sized USING (bucket)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY md5(k), doc_id NULLS FIRST{tie and f', {tie}'}) - 1 AS r FROM dealt)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY md5(k), doc_id NULLS FIRST) - 1 AS r FROM dealt)
 SELECT {columns}, n_tokens, CAST(bucket AS INT) AS bucket, bucket_len, CAST(shard AS INT) AS shard, CAST(r // cap AS BIGINT) AS batch, CAST(r % cap AS INT) AS slot, bucket_len - n_tokens AS padding FROM numbered
 """

@@ -2,8 +2,8 @@
 
 Numbers and dates are found by their formats, validated, permuted within all values of their format by a keyed Feistel
 network, and written back in the place of their digits: separators stay, check digits are made anew, a date stays a date.
-The permutation depends on the key, the kind and the value, so equal values have equal pseudonyms in all documents, and
-two values never share one. Only SQL expressions are used.
+The permutation depends on a secret key (HMAC-SHA256 in every round), the kind and the value, so equal values have equal
+pseudonyms in all documents, and two numbers or dates never share one. Only SQL expressions are used.
 
 Kinds, in order of precedence: email (a keyed hash, as there is no number to permute), iban (check digits by 97), date
 (days of 1900 to 2099), ip (four bytes), phone (an international prefix or an area code in brackets), ssn (area, group
@@ -12,29 +12,51 @@ and serial number in range) and card (13 to 19 digits, check digit by Luhn). Wha
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fenced, read_table
 
-KEY = "sievetide"
+#: Where a session keeps its key; without one, a session draws its own.
+KEY_SETTING = "spark.sievetide.pseudonymKey"
 ROUNDS = 10
-MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+# Month names, and the lengths of IBANs by country.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_MONTH = "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m)))
 #: What may stand neither before nor after a number.
 EDGE_BEFORE, EDGE_AFTER = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "iban": EDGE_BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + EDGE_AFTER,
-    "date": EDGE_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|[0-9]{1,2}\.? (?:" + MONTHS + r") [0-9]{4}|(?:" + MONTHS + r") [0-9]{1,2}, [0-9]{4})" + EDGE_AFTER,
+    "date": EDGE_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|[0-9]{1,2}\.? (?:de )?(?i:" + _MONTH + r")(?: de)? [0-9]{4}|(?i:" + _MONTH + r") [0-9]{1,2}, [0-9]{4})" + EDGE_AFTER,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + EDGE_AFTER,
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,7}(?:[ .-]?[0-9]{2,7}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})" + EDGE_AFTER + "(?!-[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}" + EDGE_AFTER,
 }
+#: What is looked for inside a match that fails its check, as it may have taken in what stands beside: the usual forms.
+INSIDE = {
+    "iban": EDGE_BEFORE + "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")" + EDGE_AFTER,
+    "date": FORMATS["date"],
+    "card": EDGE_BEFORE + r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})" + EDGE_AFTER,
+    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{2,4}[ .-]?[0-9]{6,8}" + EDGE_AFTER,
+}
 KINDS = tuple(FORMATS)
-ANY = "|".join(FORMATS.values())
+ANY, ANY_INSIDE = "|".join(FORMATS.values()), "|".join(INSIDE.values())
 
 
 def digits_of(x: Column) -> Column:
@@ -42,8 +64,13 @@ def digits_of(x: Column) -> Column:
 
 
 def keyed(key: str, kind: str, *parts: Column) -> Column:
-    """52 bits of a keyed hash."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), F.lit(kind), *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+    """52 bits of HMAC-SHA256."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in secret))
+    message = F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts]).cast("binary")
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
+    return F.conv(F.substring(F.sha2(F.concat(pad(0x5C), inner), 256), 1, 13), 16, 10).cast("long")
 
 
 def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: str, form: Column) -> Column:
@@ -124,10 +151,10 @@ def ip(x: Column, key: str) -> Column:
 
 
 def phone(x: Column, key: str) -> Column:
-    """The digits after a country code of up to three are permuted: the last ten, or all but the first of fewer than eleven with a plus."""
+    """The digits after a country code of up to three, or a national zero, are permuted: the last ten, or all but the first of fewer than eleven with a plus."""
     d = digits_of(x)
     n = F.length(d)
-    kept = F.when(x.startswith("+"), F.greatest(n - 10, F.lit(1))).otherwise(F.lit(0)).cast("int")
+    kept = F.when(x.startswith("+"), F.greatest(n - 10, F.lit(1))).when(x.startswith("0"), 1).otherwise(F.lit(0)).cast("int")
     tail = permuted_digits(F.substr(d, kept + 1), key, "phone")
     return F.when((n >= 8) & (n <= 15), refilled(x, F.concat(F.substr(d, F.lit(1), kept), tail)))
 
@@ -146,64 +173,94 @@ def ssn(x: Column, key: str) -> Column:
 def date(x: Column, key: str) -> Column:
     """Days from 1900-01-01 to 2099-12-31: 73,049 of them, 319 times 229. Of two readings the day comes first, then the month."""
     iso, dotted = F.regexp_extract(x, r"^(\d{4})-(\d{2})-(\d{2})$", 0) != "", x.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{4}$")
-    parts = F.split(x, r"[^0-9A-Za-z]+")
-    named = F.when(x.rlike("^[A-Za-z]"), F.struct(parts[1].alias("d"), parts[0].alias("m"))).otherwise(F.struct(parts[0].alias("d"), parts[1].alias("m")))
-    month_no = (F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(named["m"], 1, 3)) + 2) / 3)).cast("int")
+    parts = F.split(x, r"[^0-9]+")
+    name, first = F.regexp_extract(x, r"(\p{L}{3,})", 1), x.rlike(r"^\p{L}")
+    # The list of names that has this one, and its place there.
+    lists = [F.array(*[F.lit(m) for m in names]) for names in MONTHS.values()]
+    place = [F.array_position(F.transform(one, F.lower), F.lower(name)).cast("int") for one in lists]
+    month_no = F.coalesce(*[F.when(p > 0, p) for p in place])
+    day_no = F.regexp_extract(x, r"(?<![0-9])([0-9]{1,2})(?![0-9])", 1)
     make = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
     day_first = make(F.right(x, F.lit(4)), F.get(parts, F.lit(1)), parts[0])
     month_first = make(F.right(x, F.lit(4)), parts[0], F.get(parts, F.lit(1)))
     swapped = dotted & day_first.isNull()
-    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).when(dotted, F.coalesce(day_first, month_first)).otherwise(make(F.right(x, F.lit(4)), month_no, named["d"]))
+    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).when(dotted, F.coalesce(day_first, month_first)).otherwise(make(F.right(x, F.lit(4)), month_no, day_no))
     n = F.datediff(day, F.lit("1900-01-01").cast("date"))
     pair = feistel(F.floor(n / 229), n % 229, F.lit(319), F.lit(229), key, "date", F.lit("day"))
     fresh = F.date_add(F.lit("1900-01-01").cast("date"), (pair["a"] * 229 + pair["b"]).cast("int"))
     sep = F.regexp_extract(x, r"([./])", 1)
     as_dotted = F.concat(F.when(swapped, F.date_format(fresh, "MM")).otherwise(F.date_format(fresh, "dd")), sep, F.when(swapped, F.date_format(fresh, "dd")).otherwise(F.date_format(fresh, "MM")), sep, F.date_format(fresh, "yyyy"))
-    short = F.length(named["m"]) <= 3
-    month_name = F.when(short, F.date_format(fresh, "MMM")).otherwise(F.date_format(fresh, "MMMM"))
-    as_named = F.when(x.rlike("^[A-Za-z]"), F.concat(month_name, F.lit(" "), F.date_format(fresh, "d"), F.lit(", "), F.date_format(fresh, "yyyy"))).otherwise(
-        F.concat(F.date_format(fresh, "d"), F.when(x.rlike(r"^\d+\."), ".").otherwise(""), F.lit(" "), month_name, F.lit(" "), F.date_format(fresh, "yyyy"))
+    fresh_name = F.coalesce(*[F.when(p > 0, F.element_at(one, F.month(fresh))) for p, one in zip(place, lists, strict=True)])
+    fresh_name = F.when(name == F.upper(name), F.upper(fresh_name)).when(F.left(name, F.lit(1)) == F.upper(F.left(name, F.lit(1))), F.concat(F.upper(F.left(fresh_name, F.lit(1))), F.substring(fresh_name, 2, 20))).otherwise(F.lower(fresh_name))
+    between = lambda pattern: F.regexp_extract(x, pattern, 1)  # noqa: E731  what stands between number and name
+    as_named = F.when(first, F.concat(fresh_name, F.lit(" "), F.date_format(fresh, "d"), F.lit(", "), F.date_format(fresh, "yyyy"))).otherwise(
+        F.concat(F.date_format(fresh, "d"), between(r"^[0-9]+(\.? (?:de )?)"), fresh_name, between(r"((?: de)? )[0-9]{4}$"), F.date_format(fresh, "yyyy"))
     )
     return F.when((n >= 0) & (n < 319 * 229), F.when(iso, F.date_format(fresh, "yyyy-MM-dd")).when(dotted, as_dotted).otherwise(as_named))
 
 
 def email(x: Column, key: str) -> Column:
-    h = lambda kind, v: F.substring(F.md5(F.concat_ws("|", F.lit(key), F.lit(kind), F.lower(v))), 1, 12)
+    """Two keyed hashes of 104 bits: of the address, and of its domain, so that addresses of a domain stay together."""
+    h = lambda kind, v: F.concat(*[F.lpad(F.lower(F.hex(keyed(key, kind, F.lit(i), F.lower(v)))), 13, "0") for i in (1, 2)])
     return F.concat(F.lit("u"), h("email", x), F.lit("@d"), h("domain", F.element_at(F.split(x, "@"), 2)), F.lit(".invalid"))
 
 
 PSEUDONYM = {"email": email, "iban": iban, "date": date, "ip": ip, "phone": phone, "ssn": ssn, "card": card}
 
 
-def _found(x: Column, key: str) -> Column:
+FOUND = "STRUCT<value: STRING, kind: STRING, pseudonym: STRING>"
+
+
+def _judged(x: Column, key: str, formats: dict[str, str]) -> Column:
     """Of a match: itself, the first kind whose format and check it passes, and its pseudonym."""
     none = F.struct(x.alias("value"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("pseudonym"))
-    options = [F.when(x.rlike(f"^(?:{FORMATS[k]})$"), F.struct(x.alias("value"), F.lit(k).alias("kind"), PSEUDONYM[k](x, key).alias("pseudonym"))) for k in KINDS]
+    options = [F.when(x.rlike(f"^(?:{formats[k]})$"), F.struct(x.alias("value"), F.lit(k).alias("kind"), PSEUDONYM[k](x, key).alias("pseudonym"))) for k in formats]
     return reduce(lambda rest, o: F.coalesce(F.when(o["pseudonym"].isNotNull(), o), rest), reversed(options), none)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def _parts(text: Column, key: str, pattern: str, formats: dict[str, str]) -> Column:
+    """text as an array of (value, kind, pseudonym): matches with what stands between them, which has no kind."""
+    plain = lambda x: F.struct(x.alias("value"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("pseudonym"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(F.split(text, pattern, -1), found, lambda g, f: F.array(plain(g), F.when(f.isNotNull(), _judged(f, key, formats))))
+    return F.filter(F.flatten(both), lambda p: p.isNotNull() & (p["value"] != ""))
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced, and pii: an array of (kind, pseudonym) in text order (replaced if docs has it).
 
     Null and empty texts stay as they are, with an empty array; a null doc_id plays no part; repeated rows and equal values
     get equal results; an empty table gives an empty one. Whole texts are searched; what lies beside the matches
-    is copied unchanged. A match that fails its checks is looked at as one: its parts are not.
+    is copied unchanged. In a match that fails its checks the usual forms (INSIDE) are looked for once more, since it may
+    have taken in what stands beside it.
     """
-    names = [c for c in docs.columns if c != "pii"]
-    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda x: _found(x, key))
+    own, name = fenced(docs)
+    text = F.col(name["text"])
     # Without a digit or an @ nothing can match.
-    out = docs.withColumn("pn_found", F.when(F.col("text").rlike("[0-9@]"), found))
-    out = out.withColumn("pn_any", F.coalesce(F.exists("pn_found", lambda f: f["kind"].isNotNull()), F.lit(False)))
-    gaps = F.split("text", ANY, -1)
-    parts = F.zip_with(gaps, "pn_found", lambda g, f: F.concat(g, F.coalesce(f["pseudonym"], f["value"], F.lit(""))))
-    text = F.when(F.col("pn_any"), F.array_join(parts, "")).otherwise(F.col("text"))
-    kinds = F.transform(F.filter("pn_found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["pseudonym"].alias("pseudonym")))
-    return out.withColumn("pii", F.coalesce(kinds, F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, pseudonym: STRING>>)"))).withColumn("text", text).select(*names, "pii")
+    out = own.withColumn("parts", F.when(text.rlike("[0-9@]"), _parts(text, key, ANY, FORMATS)))
+    # A second step, over what was a match and failed; in a column of its own, so that the first is computed once.
+    failed = lambda p: p["kind"].isNull() & p["value"].rlike(ANY_INSIDE)
+    again = F.flatten(F.transform("parts", lambda p: F.when(failed(p), _parts(p["value"], key, ANY_INSIDE, INSIDE)).otherwise(F.array(p))))
+    out = out.withColumn("parts", F.when(F.exists("parts", failed), again).otherwise(F.col("parts")))
+    kinds = F.transform(F.filter("parts", lambda p: p["kind"].isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["pseudonym"].alias("pseudonym")))
+    out = out.withColumn("pii", F.coalesce(kinds, F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, pseudonym: STRING>>)")))
+    changed = F.array_join(F.transform("parts", lambda p: F.coalesce(p["pseudonym"], p["value"])), "")
+    new = F.when(F.size("pii") > 0, changed).otherwise(text)
+    return out.select(*[(new if c == "text" else F.col(name[c])).alias(c) for c in docs.columns if c.lower() != "pii"], "pii")
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key: its setting, or one that it draws once and keeps. Pseudonyms of different keys don't meet."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms, and how many of each kind they hold."""
-    out = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with pseudonyms under the session's key, and how many of each kind they hold."""
+    out = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     of_kind = lambda k: F.size(F.filter("pii", lambda f: f["kind"] == k)).alias(f"n_{k}")
     counts = [of_kind(k) for k in KINDS]
     return out.select("doc_id", "text", *counts)

@@ -24,8 +24,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import read_table, small_batches
+from .common import read_table, sliced, small_batches
 
 #: Tables are emptied when they have so many entries, to be filled again by what is met.
 MAX_STATES = 100_000
@@ -272,26 +274,31 @@ def transducer(path: str) -> CountingTransducer:
     return _compiled[path]
 
 
-def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text).
+def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text), and the columns to keep.
 
     path: the vocabulary's file, at the same place on every machine. A null text counts as an empty one: no bytes,
-    no tokens. A null doc_id stays null; repeated rows give repeated rows; other columns are ignored; an empty table
+    no tokens. A null doc_id stays null; repeated rows give repeated rows; other columns are left out; an empty table
     gives an empty one. No text is cut: a worker holds one Arrow batch and bounded tables.
     """
-
     small_batches(docs.sparkSession)
+    names = ["doc_id", *[c for c in keep if c != "doc_id"]]
+    new = ["n_bytes", "n_tokens", "over_limit"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("counted"), *names[1:])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+        for batch in sliced(batches):
+            texts = [x or "" for x in batch.column("counted").to_pylist()]
             tokens = [machine.count(x) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x.encode("utf-8")) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > max_tokens for n in tokens], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(of, SCHEMA)
+            columns = pa.array([len(x.encode("utf-8")) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > max_tokens for n in tokens], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *new])
+
+    kinds = dict(f.split(" ") for f in SCHEMA.split(", "))
+    schema = StructType([rows.schema[c] for c in names])
+    for c in new:
+        schema = schema.add(c, kinds[c])
+    return rows.mapInArrow(of, schema)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

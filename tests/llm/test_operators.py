@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -149,7 +150,7 @@ def luhn(n):
 
 def test_pseudonyms_keep_format_and_links(spark):
     texts = ["pay 4785380592391139 or 4785-3805-9239-1139 not 4785380592391138", "on 2001-02-28, 28.02.2001, 28 February 2001, 2/28/2001", "at 153.207.106.222 999.1.1.1", "DE89370400440532013000 DE00370400440532013000", "123-45-6789 000-12-3456 +1 (017) 555-7713", "pay 4785380592391139", None, "", "é4785380592391139é"]
-    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(frame(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(frame(spark, texts), "k").collect()}
     a = got[0].split()
     assert a[1] != "4785380592391139" and luhn(a[1]) and a[3].replace("-", "") == a[1] and a[3].count("-") == 3 and a[5] == "4785380592391138"
     assert got[5].split()[1] == a[1]
@@ -170,6 +171,40 @@ def test_pseudonyms_permute(spark):
     assert out.filter("p IS NULL").count() == 0 and out.distinct().count() == 73_049
 
 
+def test_pseudonyms_of_all_languages_and_neighbours(spark):
+    cases = [
+        ("am 28. Februar 2001 und", r"am \d{1,2}\. [A-ZÄ]\w+ \d{4} und"), ("le 28 février 2001.", r"le \d{1,2} [a-zéû]+ \d{4}\."), ("el 3 de mayo de 1999", r"el \d{1,2} de [a-z]+ de \d{4}"), ("on MAY 3, 1999", r"on [A-Z]+ \d{1,2}, \d{4}"),
+        ("call 030 1234567 now", r"call 0\d\d \d{7} now"), ("DE00 4785 3805 9239 1139 end", r"DE00( \d{4}){4} end"), ("4111 1111 1111 1111 123", r"(\d{4} ){4}123"), ("4111111111111111 12/27", r"\d{16} 12/27"),
+        ("4111111111111111 25 EUR", r"\d{16} 25 EUR"), ("ES9121000418450200051332 EUR", r"ES\d{22} EUR"), ("+49 30 1234567 2024-01-02", r"\+49 \d\d \d{7} \d{4}-\d\d-\d\d"),
+    ]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, [t for t, _ in cases]), "k").collect()}
+    for i, (text, form) in enumerate(cases):
+        assert re.fullmatch(form, got[i].text) and got[i].text != text and got[i].pii, (text, got[i].text)
+    assert luhn(got[6].text[:19].replace(" ", "")) and got[6].text[:19].replace(" ", "") == got[7].text[:16] == got[8].text[:16]
+    assert len(got[10].pii) == 2
+
+
+def test_pseudonyms_depend_on_the_key_and_equal_a_plain_feistel(spark):
+    import hmac
+
+    df = frame(spark, ["4111111111111111 and 12.34.56.78"])
+    one, other = (pseudonyms.pseudonymise(df, k).first().text for k in ("k1", "k2"))
+    assert one != other == pseudonyms.pseudonymise(df, "k2").first().text
+
+    def plain(a, b, size_a, size_b, key, kind, form):
+        for i in range(1, pseudonyms.ROUNDS + 1):
+            part = b if i % 2 else a
+            h = int(hmac.new(key.encode(), f"{kind}|{form}|{i}|{part}".encode(), "sha256").hexdigest()[:13], 16)
+            a, b = ((a + h % size_a) % size_a, b) if i % 2 else (a, (b + h % size_b) % size_b)
+        return a, b
+
+    a, b = plain(411_111_1, 11_111_111, 10**7, 10**8, "k1", "card", 15)
+    digits = f"{a:07d}{b:08d}"
+    check = next(c for c in "0123456789" if luhn(digits + c))
+    x, y = plain(12 * 256 + 34, 56 * 256 + 78, 65536, 65536, "k1", "ip", 4)
+    assert one == f"{digits}{check} and {x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+
 # Audio
 
 
@@ -225,46 +260,109 @@ def test_quality_measures(spark, sf, texts):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
 
 
-def test_kneser_ney_adds_up(texts):
-    counts = Counter(g for t in texts.values() for g in quality.grams(t).tolist())
-    at = np.array(sorted(counts))
-    kn = quality.KneserNey(np.zeros(len(at), int), at, np.array([counts[g] for g in at.tolist()]))
-    np.testing.assert_allclose((2.0 ** kn.table(0).astype(float)).reshape(-1, quality.CLASSES).sum(1), 1, atol=1e-3)
-    assert (np.diff(kn.keys.astype(object)) > 0).all()
-
-
-def test_perplexity_rejects_noise_and_keeps_prose(spark, docs):
+def brute_kneser_ney(texts):
+    """log2 of the probability of a character after others, of a modified Kneser-Ney model of texts, with nothing left out."""
+    plain = quality._plain()
+    read = lambda t: tuple(plain[[ord(c) for c in quality.START + t]].tolist())
+    order = quality.ORDER
+    counts = {order: Counter(s[i : i + order] for s in map(read, texts) for i in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off = {k: quality.discounts(*(sum(n == i for n in c.values()) for i in range(1, 5))) for k, c in counts.items()}
+    least = {k: max(1, math.ceil(sum(c.values()) * quality.KEPT)) for k, c in counts.items()}
+    total, own = defaultdict(int), defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            if n >= least[k]:
+                own[g[:-1]] += n - off[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, n = len(g), counts[len(g)].get(g, 0)
+        kept = n - off[k][min(n, 3) - 1] if n and n >= least[k] else 0
+        return kept / total[g[:-1]] + (1 - own[g[:-1]] / total[g[:-1]]) * p(g[1:]) if g[:-1] in own else p(g[1:])
+
+    def mean(text):
+        s = read(text)
+        logs, words = 0.0, 0
+        for i in range(order - 1, len(s)):
+            logs += math.log2(p(s[i - order + 1 : i + 1]))
+            words += i == order - 1 or (s[i] not in (32, 10) and s[i - 1] in (32, 10))
+        return logs / words
+
+    return p, mean
+
+
+def test_perplexity_equals_brute_force(spark, sf, docs):
+    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = {r.doc_id: r for r in registry.QUERIES["op6_quality_rules"](spark, sf).collect()}
+    means, wide = {}, {}
+    for lang in {r.lang for r in rows}:
+        _, mean = brute_kneser_ney([r.text for r in rows if r.lang == lang and r.text])
+        own = {r.doc_id: mean(r.text) for r in rows if r.lang == lang and r.text}
+        means |= own
+        texts_ = {r.text: own[r.doc_id] for r in rows if r.lang == lang and len(quality.WORDS.findall(r.text)) >= 50}
+        x = sorted(texts_.values())
+        centre = x[(len(x) - 1) // 2]
+        wide[lang] = centre, 1.4826 * sorted(abs(v - centre) for v in x)[(len(x) - 1) // 2]
+    for r in rows:
+        if r.text:
+            assert math.log2(got[r.doc_id].perplexity) == pytest.approx(-means[r.doc_id], abs=0.02)
+            centre, spread = wide[r.lang]
+            if not got[r.doc_id].base_failed and abs(means[r.doc_id] - centre) < 2 * spread:
+                assert got[r.doc_id].kept
+
+
+def test_kneser_ney_adds_up(spark, docs):
+    own = docs.filter("lang = 'en'")
+    kn = quality.train(own)
+    seen = sorted({int(x) for x in quality._plain()[[ord(c) for r in own.collect() for c in r.text or ""]]})
+    for context in ("the", "\n\nA", " th", "zzz", "#1é"):
+        at = [int(quality._plain()[ord(c)]) for c in context]
+        g = np.array([(at[0] << 48) | (at[1] << 32) | (at[2] << 16) | c for c in seen], np.uint64)
+        p = 2.0 ** kn.looked_up(np.zeros(len(g), int), g)
+        # What the model has never seen shares one part more.
+        assert 0.97 < p.sum() <= 1.001
+        np.testing.assert_allclose(kn.logs(np.zeros(len(g), int), g), np.log2(p), atol=1e-4)
+    assert (np.diff(kn.grams.keys.astype(object)) > 0).all() and (np.diff(kn.contexts.keys.astype(object)) > 0).all()
+
+
+def test_perplexity_rejects_what_no_symbol_count_finds(spark, docs):
     rng = random.Random(3)
     noise = " ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) for _ in range(400))
-    marks = " ".join(rng.choice(["&&&", "###", "$$$", "***"]) * 3 for _ in range(100)) + " ".join(f"x{i}##" for i in range(90))
     prose = docs.filter("lang = 'en' AND length(text) > 1500").first().text
-    df = spark.createDataFrame([(-1, noise, "en", "a", 1), (-2, marks, "en", "a", 1), (-3, prose, "en", "a", 1)], DOC)
+    foreign = docs.filter("lang = 'es' AND length(text) > 1500").first().text
+    marks = " ".join(w + rng.choice(["&&&", "###", "$$$"]) for w in prose.split())
+    filled = " ".join("the of and to in".split() * 40) + " " + prose[:100]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate((prose, noise, foreign, marks, " ".join(rng.sample(filled.split(), len(filled.split())))))], DOC)
     got = {r.doc_id: r for r in quality.judge(df, quality.train(docs)).collect()}
-    assert not got[-1].kept and not got[-2].kept and got[-3].kept and got[-1].perplexity > 3 * got[-3].perplexity
+    assert [got[i].kept for i in range(5)] == [True, False, False, False, False]
+    assert all(got[i].n_symbols == 0 for i in (1, 2)) and got[1].perplexity > got[0].perplexity > got[4].perplexity
 
 
 def test_a_third_of_junk_moves_no_band(spark, docs):
     rng = random.Random(12)
     clean = [r.text for r in docs.filter("lang = 'en' AND length(text) > 1500").dropDuplicates(["text"]).collect() if not quality.SYMBOLS.search(r.text)]
-    alone = {r.text for r in quality.judge(frame(spark, clean)).filter("NOT base_failed").collect()}
+    alone = {r.text for r in quality.judge(frame(spark, clean)).filter("NOT base_failed AND kept").collect()}
     clean = [t for t in clean if t in alone]
     junk = [" ".join(base64.b64encode(rng.randbytes(rng.randint(4, 40))).decode() for _ in range(rng.randint(60, 300))) for _ in range(len(clean) // 2)]
     for copies in (0, 40):
         got = quality.judge(frame(spark, [*clean, *junk, *junk[:3] * copies])).collect()
-        assert len(clean) > 30 and all(r.kept == (r.doc_id < len(clean)) for r in got)
+        assert len(clean) > 25 and all(r.kept == (r.doc_id < len(clean)) for r in got)
 
 
 def test_each_language_has_its_own_model(spark, docs):
     rows = [r.text for r in docs.filter("lang = 'en' AND length(text) > 1500").dropDuplicates(["text"]).collect() if not quality.SYMBOLS.search(r.text)]
-    cyrillic = [t.lower().translate({ord("a") + i: 0x430 + i for i in range(26)}) for t in rows[:20]]
-    passed = [base(t)[4] * 2 <= base(t)[0] for t in rows]
+    cyrillic = [t.lower().translate({ord("a") + i: 0x430 + i for i in range(26)}) for t in rows]
     df = frame(spark, rows, "it").unionAll(frame(spark, cyrillic, "ru").withColumn("doc_id", F.col("doc_id") + 1000))
     got = {r.doc_id: r for r in quality.judge(df).collect()}
-    assert all(got[i].kept == ok for i, ok in enumerate(passed)) and all(got[1000 + i].kept == ok for i, ok in enumerate(passed[:20]))
+    # The same texts in other letters fare alike.
+    assert sum(got[i].kept != got[1000 + i].kept for i in range(len(rows))) <= 1
     kn = quality.train(df)
     assert set(kn.number) == {"it", "ru"} and set(kn.bands) == {0, 1}
-    assert len(set(quality.grams("абвгд")[-2:].tolist())) == 2 and quality.grams("абвгд")[-1] != quality.grams("ддддд")[-1]
-    salad = quality.judge(df.limit(0).unionAll(frame(spark, ["".join(random.Random(1).choices("абвгдежз ", k=3000))], "ru")), kn).first()
+    salad = quality.judge(frame(spark, ["".join(random.Random(1).choices("абвгдежз ", k=3000))], "ru"), kn).first()
     assert not salad.kept
 
 
