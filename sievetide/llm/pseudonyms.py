@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,11 @@ KINDS = tuple(FORMATS)
 ANY, ANY_INSIDE = "|".join(FORMATS.values()), "|".join(INSIDE.values())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digits_of(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -185,18 +191,23 @@ def date(x: Column, key: str) -> Column:
     month_first = make(F.right(x, F.lit(4)), parts[0], F.get(parts, F.lit(1)))
     swapped = dotted & day_first.isNull()
     day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).when(dotted, F.coalesce(day_first, month_first)).otherwise(make(F.right(x, F.lit(4)), month_no, day_no))
-    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-    pair = feistel(F.floor(n / 229), n % 229, F.lit(319), F.lit(229), key, "date", F.lit("day"))
-    fresh = F.date_add(F.lit("1900-01-01").cast("date"), (pair["a"] * 229 + pair["b"]).cast("int"))
     sep = F.regexp_extract(x, r"([./])", 1)
-    as_dotted = F.concat(F.when(swapped, F.date_format(fresh, "MM")).otherwise(F.date_format(fresh, "dd")), sep, F.when(swapped, F.date_format(fresh, "dd")).otherwise(F.date_format(fresh, "MM")), sep, F.date_format(fresh, "yyyy"))
-    fresh_name = F.coalesce(*[F.when(p > 0, F.element_at(one, F.month(fresh))) for p, one in zip(place, lists, strict=True)])
-    fresh_name = F.when(name == F.upper(name), F.upper(fresh_name)).when(F.left(name, F.lit(1)) == F.upper(F.left(name, F.lit(1))), F.concat(F.upper(F.left(fresh_name, F.lit(1))), F.substring(fresh_name, 2, 20))).otherwise(F.lower(fresh_name))
     between = lambda pattern: F.regexp_extract(x, pattern, 1)  # noqa: E731  what stands between number and name
-    as_named = F.when(first, F.concat(fresh_name, F.lit(" "), F.date_format(fresh, "d"), F.lit(", "), F.date_format(fresh, "yyyy"))).otherwise(
-        F.concat(F.date_format(fresh, "d"), between(r"^[0-9]+(\.? (?:de )?)"), fresh_name, between(r"((?: de)? )[0-9]{4}$"), F.date_format(fresh, "yyyy"))
-    )
-    return F.when((n >= 0) & (n < 319 * 229), F.when(iso, F.date_format(fresh, "yyyy-MM-dd")).when(dotted, as_dotted).otherwise(as_named))
+    cased = lambda m: F.when(name == F.upper(name), F.upper(m)).when(F.left(name, F.lit(1)) == F.upper(F.left(name, F.lit(1))), F.concat(F.upper(F.left(m, F.lit(1))), F.substring(m, 2, 20))).otherwise(F.lower(m))
+
+    def written_as(fresh: Column) -> Column:
+        part = lambda form: F.date_format(fresh, form)
+        as_dotted = F.concat(F.when(swapped, part("MM")).otherwise(part("dd")), sep, F.when(swapped, part("dd")).otherwise(part("MM")), sep, part("yyyy"))
+        month = F.coalesce(*[F.when(p > 0, F.element_at(one, F.month(fresh))) for p, one in zip(place, lists, strict=True)])
+        as_named = let(month, lambda m: F.when(first, F.concat(cased(m), F.lit(" "), part("d"), F.lit(", "), part("yyyy"))).otherwise(F.concat(part("d"), between(r"^[0-9]+(\.? (?:de )?)"), cased(m), between(r"((?: de)? )[0-9]{4}$"), part("yyyy"))))
+        return F.when(iso, part("yyyy-MM-dd")).when(dotted, as_dotted).otherwise(as_named)
+
+    def moved(n: Column) -> Column:
+        pair = feistel(F.floor(n / 229), n % 229, F.lit(319), F.lit(229), key, "date", F.lit("day"))
+        fresh = let(pair, lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * 229 + p["b"]).cast("int")))
+        return F.when((n >= 0) & (n < 319 * 229), let(fresh, written_as))
+
+    return let(F.datediff(day, F.lit("1900-01-01").cast("date")), moved)
 
 
 def email(x: Column, key: str) -> Column:
@@ -215,7 +226,7 @@ def _judged(x: Column, key: str, formats: dict[str, str]) -> Column:
     """Of a match: itself, the first kind whose format and check it passes, and its pseudonym."""
     none = F.struct(x.alias("value"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("pseudonym"))
     options = [F.when(x.rlike(f"^(?:{formats[k]})$"), F.struct(x.alias("value"), F.lit(k).alias("kind"), PSEUDONYM[k](x, key).alias("pseudonym"))) for k in formats]
-    return reduce(lambda rest, o: F.coalesce(F.when(o["pseudonym"].isNotNull(), o), rest), reversed(options), none)
+    return reduce(lambda rest, o: F.coalesce(let(o, lambda v: F.when(v["pseudonym"].isNotNull(), v)), rest), reversed(options), none)
 
 
 def _parts(text: Column, key: str, pattern: str, formats: dict[str, str]) -> Column:

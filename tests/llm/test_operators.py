@@ -175,7 +175,7 @@ def test_pseudonyms_of_all_languages_and_neighbours(spark):
     cases = [
         ("am 28. Februar 2001 und", r"am \d{1,2}\. [A-ZÄ]\w+ \d{4} und"), ("le 28 février 2001.", r"le \d{1,2} [a-zéû]+ \d{4}\."), ("el 3 de mayo de 1999", r"el \d{1,2} de [a-z]+ de \d{4}"), ("on MAY 3, 1999", r"on [A-Z]+ \d{1,2}, \d{4}"),
         ("call 030 1234567 now", r"call 0\d\d \d{7} now"), ("DE00 4785 3805 9239 1139 end", r"DE00( \d{4}){4} end"), ("4111 1111 1111 1111 123", r"(\d{4} ){4}123"), ("4111111111111111 12/27", r"\d{16} 12/27"),
-        ("4111111111111111 25 EUR", r"\d{16} 25 EUR"), ("ES9121000418450200051332 EUR", r"ES\d{22} EUR"), ("+49 30 1234567 2024-01-02", r"\+49 \d\d \d{7} \d{4}-\d\d-\d\d"),
+        ("4111111111111111 25 EUR", r"\d{16} 25 EUR"), ("ES9121000418450200051332 EUR", r"ES\d{22} EUR"), ("+49 30 1234567 2024-01-02", r"\+\d\d \d\d \d{7} \d{4}-\d\d-\d\d"),
     ]
     got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, [t for t, _ in cases]), "k").collect()}
     for i, (text, form) in enumerate(cases):
