@@ -246,10 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # The least ones are written, so that the joins read plain shuffles, of which Spark can split a hub's neighbours.
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = checkpointed(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
+        # The least ones are dealt once more, so that the joins read plain shuffles, of which Spark can split a hub's neighbours.
+        dealt = lambda least: least.repartition(F.xxhash64("a"))
+        least = dealt(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = dealt(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = checkpointed(small.filter("a != b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
