@@ -53,7 +53,8 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER), keep=COLUMNS)
+    # Written, as both the histogram and the rows read the counts.
+    counted = checkpointed(token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER), keep=COLUMNS))
     return packing.pack(counted.select(*COLUMNS, "n_tokens"), "n_tokens")
 
 
