@@ -98,17 +98,19 @@ def masked(x: Column) -> Column:
     return F.regexp_replace(x, r"[^/\\]", "•")
 
 
-def bytes_label(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB with one decimal."""
-    kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    one = lambda v: F.format_string("%.1f", v)
-    return F.when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < mb, F.concat(one(n / kb), F.lit(" KB"))).when(n < gb, F.concat(one(n / mb), F.lit(" MB"))).otherwise(F.concat(one(n / gb), F.lit(" GB")))
+def bytes_label(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
+    """Bytes as B, or with one decimal in the largest of units (powers of 1024) that they fill; beyond the last, in the last."""
+    in_unit = lambda i: F.concat(F.format_string("%.1f", n / 1024.0 ** (i + 1)), F.lit(f" {units[i]}"))
+    out = F.when(n < 1024.0, F.concat(n.cast("string"), F.lit(" B")))
+    for i in range(len(units) - 1):
+        out = out.when(n < 1024.0 ** (i + 2), in_unit(i))
+    return out.otherwise(in_unit(len(units) - 1))
 
 
 def clock(ms: Column) -> Column:
+    """Hours, minutes and seconds in two digits; hours in as many as they have."""
     s = F.floor(ms / 1000)
-    two = lambda v: F.lpad(v.cast("string"), 2, "0")
-    return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
 
 
 def column_letters(n: Column) -> Column:

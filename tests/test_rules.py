@@ -44,6 +44,26 @@ def test_disclaimer_is_cut(spark):
     assert one(spark, T.strip_notice(F.col("x")), x="a\nThanks\nThis message and any attachments are privileged\nb") == "a\nThanks\n"
 
 
+@pytest.mark.parametrize(("ms", "label"), [(0, "00:00:00"), (359_999_999, "99:59:59"), (360_000_000, "100:00:00"), (700_000_000, "194:26:40"), (2_800_000_000, "777:46:40")])
+def test_clock_keeps_all_hours(spark, ms, label):
+    assert one(spark, T.clock(F.col("x")), x=ms) == label
+
+
+@pytest.mark.parametrize(("n", "label", "upto_mb"), [(1023, "1023 B", "1023 B"), (1792, "1.8 KB", "1.8 KB"), (1 << 20, "1.0 MB", "1.0 MB"), (1 << 30, "1.0 GB", "1024.0 MB"), (2_800_000_000, "2.6 GB", "2670.3 MB")])
+def test_bytes_beyond_the_last_unit(spark, n, label, upto_mb):
+    assert one(spark, T.bytes_label(F.col("x")), x=n) == label
+    assert one(spark, T.bytes_label(F.col("x"), ("KB", "MB")), x=n) == upto_mb
+
+
+def test_formats_of_large_keys(spark, duck, same, tmp_path):
+    """The query's rows beyond 99 hours and 1024 MB."""
+    from sievetide.plans.registry import ORACLES, QUERIES
+
+    duck.execute(f"COPY (SELECT * REPLACE (p_partkey + shift AS p_partkey) FROM part, (VALUES (0), (8000), (20000), (1200000)) AS x(shift)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    sql = ORACLES["t16_t17_format"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet')")
+    same(QUERIES["t16_t17_format"](spark, str(tmp_path)), sql)
+
+
 def test_file_names(spark):
     assert one(spark, cascade.file_name_keyword(F.col("x"), ReviewConfig().keywords), x="board_Confidential-minutes.docx")
     assert not one(spark, cascade.file_name_keyword(F.col("x"), ReviewConfig().keywords), x="confidentially.docx")
