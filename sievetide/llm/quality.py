@@ -2,10 +2,10 @@
 
 The n-gram model is a modified Kneser-Ney model of order 4 over characters (UTF-16 units, in lower case, with all digits
 as one and tabs as spaces), one for each value of lang. Spark counts the 4-grams of all texts, and
-from them in how many contexts each shorter n-gram stands. Of each order and language the n-grams with at least a
-2**-18th of all counts are kept, so at most 2**18 of them; what the others would get goes to their contexts' back-off, so
-that probabilities still add up to one. The model is two sorted arrays of 64-bit hashes, of n-grams with log probabilities
-and of contexts with back-off weights; workers search them and keep the answers to late questions.
+from them in how many contexts each shorter n-gram stands, and joins probabilities and back-off weights from the shortest
+n-grams up; none is left out. With at most AT_HAND n-grams and contexts the model is two sorted arrays of 64-bit hashes, which
+workers search and whose late answers they keep. With more, workers hold the most frequent 4-grams, and each text gets
+its other ones' log probabilities by joins with the tables, the same numbers as from the arrays.
 
 Perplexity is that of words: a text's mean over its words, each with the white space behind it. So neither marks that repeat
 beside words nor marks between them average out. A language's band lies about the median of its texts' means, each text
@@ -30,8 +30,10 @@ from pyspark.sql.types import StructType
 from .common import WORD, checkpointed, read_table, sliced, small_batches
 
 ORDER, BITS = 4, 16
-#: An n-gram is kept with at least this share of the counts of its order and language.
-KEPT = 2**-18
+#: An n-gram is kept with at least this share of the counts of its order and language: all are.
+KEPT = 0
+#: As many n-grams and contexts are sent to the workers (12 bytes each); others are joined.
+AT_HAND = 4_000_000
 #: Characters whose grams are counted at a time; slots, as a power of two, for answers that a worker keeps.
 HELD, SLOTS = 4_000_000, 18
 #: A text of n words is rejected if its mean log2 probability a word is further from its language's centre than a
@@ -167,28 +169,22 @@ class Sorted:
 
 
 class KneserNey:
-    """Sorted n-grams with log2 probabilities, sorted contexts with log2 back-off weights; the number of each language, its characters, and its band."""
+    """Sorted n-grams with log2 probabilities, sorted contexts with log2 back-off weights; the number of each language, its characters, and its band.
+
+    tables: none if the arrays hold all; else all n-grams and contexts as DataFrames, and the arrays hold frequent 4-grams only.
+    """
 
     def __init__(self, langs: list[str | None], symbols: list[int]):
         self.number, self.symbols = {lang: i for i, lang in enumerate(langs)}, np.array(symbols, np.float64)
         self.grams, self.contexts = Sorted([], []), Sorted([], [])
         #: By language number: the centre, the spread of texts and the deviation of single words.
         self.bands: dict[int, tuple[float, float, float]] = {}
+        self.tables: tuple[DataFrame, DataFrame] | None = None
+        self.whole = True
         self._keys = self._values = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_keys": None, "_values": None}
-
-    def add_order(self, k: int, off: np.ndarray, lang_no: np.ndarray, gram: np.ndarray, c: np.ndarray, context_lang: np.ndarray, context: np.ndarray, total: np.ndarray) -> None:
-        """The kept n-grams of order k, after those of k - 1. off: discounts (languages, 3); total: the counts of all n-grams of a context, kept or not."""
-        at_context = Sorted([gram_hash(context_lang, k, context)], [np.arange(len(context), dtype=np.float64)])
-        order = np.argsort(gram_hash(context_lang, k, context))
-        place = order[np.searchsorted(at_context.keys, gram_hash(lang_no, k, gram >> np.uint64(BITS)))]
-        own = (c - off[lang_no, np.minimum(c, 3).astype(np.int64) - 1]) / total[place]
-        rest = np.maximum(1 - np.bincount(place, own, len(context)), 1e-12)
-        p = own + rest[place] * 2.0 ** self.looked_up(lang_no, gram & np.uint64((1 << BITS * (k - 1)) - 1), k - 1)
-        self.grams = Sorted([self.grams.keys, gram_hash(lang_no, k, gram)], [self.grams.values, np.log2(np.maximum(p, 1e-30))])
-        self.contexts = Sorted([self.contexts.keys, gram_hash(context_lang, k, context)], [self.contexts.values, np.log2(rest)])
+        return {**self.__dict__, "tables": None, "_keys": None, "_values": None}
 
     def looked_up(self, lang_no: np.ndarray, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
         """log2 of the probability of the last character of n-grams, with back-off."""
@@ -218,13 +214,38 @@ class KneserNey:
             out[new] = found[at]
         return out
 
-    def scores(self, texts: list[str], lang_no: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts: the mean of their words' log2 probabilities, its standard deviation, and how many words (white space before the first is one); an empty text has none."""
+    def joined(self, lang_no: np.ndarray, gram: np.ndarray, answers: Sorted) -> np.ndarray:
+        """As logs, of 4-grams at hand or in answers."""
+        h = gram_hash(lang_no, ORDER, gram)
+        there, out = self.grams.find(h)
+        found, late = answers.find(h[~there])
+        if not found.all():
+            raise ValueError("n-grams without an answer")
+        out[~there] = late
+        return out
+
+    def absent(self, texts: list[str], lang_no: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The 4-grams of texts that the arrays don't have, each once a text: the text's place and the gram."""
+        g, n = grams(texts)
+        text = np.repeat(np.arange(len(texts)), n)
+        out = np.flatnonzero(~self.grams.find(gram_hash(np.array(lang_no).take(text), ORDER, g))[0])
+        out = out[np.lexsort((g[out], text[out]))]
+        g, text = g[out], text[out]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
+        return text[new], g[new]
+
+    def scores(self, texts: list[str], lang_no: list[int], answers: Sorted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: the mean of their words' log2 probabilities, its standard deviation, and how many words (white space before the first is one); an empty text has none.
+
+        answers: of the 4-grams that are absent, by their gram_hash.
+        """
         mean, deviation, words = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         own = [i for i, t in enumerate(texts) if t]
         if own:
             g, n = grams([texts[i] for i in own])
-            x = self.logs(np.repeat(np.array([lang_no[i] for i in own]), n), g).astype(np.float64)
+            lang = np.repeat(np.array([lang_no[i] for i in own]), n)
+            x = (self.logs(lang, g) if answers is None else self.joined(lang, g, answers)).astype(np.float64)
             space = lambda unit: (unit == np.uint64(32)) | (unit == np.uint64(10))
             begins = ~space(g & np.uint64(0xFFFF)) & space(g >> np.uint64(BITS) & np.uint64(0xFFFF))
             text = np.cumsum(n) - n
@@ -256,14 +277,15 @@ def bands(docs: DataFrame, model: KneserNey) -> dict[int, tuple[float, float, fl
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kn = shared.value
         for batch in sliced(batches):
+            answers = answers_of(batch)
             pairs = [(t, kn.number[lang]) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if t and lang in kn.number and len(WORDS.findall(t)) >= MIN_WORDS]
             texts, lang_no = [t for t, _ in pairs], [n for _, n in pairs]
-            mean, deviation, _ = kn.scores(texts, lang_no)
+            mean, deviation, _ = kn.scores(texts, lang_no, answers)
             h = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
             columns = pa.array(lang_no, pa.int32()), pa.array(h, pa.binary()), pa.array(np.rint(mean * MEAN_PARTS).astype(np.int32)), pa.array(np.rint(deviation * DEVIATION_PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(list(columns), ["lang_no", "h", "mean", "deviation"])
 
-    cells = docs.select("text", "lang").mapInArrow(of, "lang_no int, h binary, mean int, deviation int").distinct().groupBy("lang_no", "mean", "deviation").agg(F.count("*").alias("n")).toArrow()
+    cells = answered(docs.select("text", "lang"), model, shared).mapInArrow(of, "lang_no int, h binary, mean int, deviation int").distinct().groupBy("lang_no", "mean", "deviation").agg(F.count("*").alias("n")).toArrow()
     lang_no, mean, deviation, n = (cells.column(c).to_numpy() for c in ("lang_no", "mean", "deviation", "n"))
     out = {}
     for lang in np.unique(lang_no).tolist():
@@ -274,28 +296,113 @@ def bands(docs: DataFrame, model: KneserNey) -> dict[int, tuple[float, float, fl
     return out
 
 
+def probabilities(counts: DataFrame, off: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All n-grams (lang_no, k, gram, c, log) and contexts (lang_no, k, context, log): log2 of probabilities and back-off weights.
+
+    counts: lang_no, k, gram, c. off: lang_no, k, d1, d2, d3, symbols: what is taken off counts, and one more than the characters.
+    """
+    known = counts.join(F.broadcast(off), ["lang_no", "k"]).withColumn("context", F.shiftrightunsigned("gram", BITS))
+    known = known.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+    sums = known.groupBy("lang_no", "k", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("taken"))
+    contexts = checkpointed(sums.select("lang_no", "k", "context", "total", F.greatest(F.col("taken") / F.col("total"), F.lit(1e-12)).alias("rest")))
+    known = known.join(contexts, ["lang_no", "k", "context"])
+    own, made, below = (F.col("c") - F.col("d")) / F.col("total"), [], None
+    for k in range(1, ORDER + 1):
+        at = known.filter(F.col("k") == k)
+        if below is None:
+            at = at.withColumn("p", own + F.col("rest") / F.col("symbols"))
+        else:
+            at = at.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
+            at = at.join(below, ["lang_no", "suffix"]).withColumn("p", own + F.col("rest") * F.col("shorter"))
+        at = checkpointed(at.select("lang_no", "k", "gram", "c", "p"))
+        made.append(at.select("lang_no", "k", "gram", "c", F.log2(F.greatest("p", F.lit(1e-30))).alias("log")))
+        below = at.select("lang_no", F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
+    grams_ = made[0].unionAll(made[1]).unionAll(made[2]).unionAll(made[3])
+    return grams_, contexts.select("lang_no", "k", "context", F.log2("rest").alias("log"))
+
+
+def _sorted(rows: DataFrame, gram: str) -> Sorted:
+    """rows (lang_no, k, gram, log) as an array on the driver."""
+    got = rows.select("lang_no", "k", gram, F.col("log").cast("float")).toArrow()
+    lang_no, k, g, log = (got.column(i).to_numpy() for i in range(4))
+    parts = [k == order for order in range(1, ORDER + 1)]
+    return Sorted([gram_hash(lang_no[own], i, g[own].view(np.uint64)) for i, own in enumerate(parts, 1)], [log[own] for own in parts])
+
+
+def answers_of(batch: pa.RecordBatch) -> Sorted | None:
+    """What answered has joined to a batch's texts."""
+    if "qa_hash" not in batch.schema.names:
+        return None
+    column = lambda c: batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False)
+    keys, first = np.unique(column("qa_hash").view(np.uint64), return_index=True)
+    return Sorted([keys], [column("qa_log")[first]])
+
+
+def answered(docs: DataFrame, model: KneserNey, shared) -> DataFrame:
+    """docs (text, lang and others) as they are if model, shared as a broadcast, is whole; else with qa_hash and qa_log: hashes and log2 probabilities of the 4-grams of the text that the model hasn't at hand.
+
+    Texts meet their answers by a hash; texts that share one get each other's answers too, which does no harm.
+    """
+    if model.whole:
+        return docs
+    docs = docs.toDF(*[c if c in ("text", "lang") else f"own_{i}" for i, c in enumerate(docs.columns)])  # no name that is given here
+    key = F.xxhash64("text", "lang")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kn = shared.value
+        for batch in sliced(batches):
+            rows = [(t, kn.number[lang], i) for i, (t, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)) if t and lang in kn.number]
+            if rows:
+                texts, lang_no, at = zip(*rows, strict=True)
+                text, g = kn.absent(list(texts), list(lang_no))
+                own = np.array(lang_no).take(text)
+                columns = batch.column("qa_key").take(pa.array(np.array(at).take(text))), pa.array(own.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(gram_hash(own, ORDER, g).view(np.int64))
+                yield pa.RecordBatch.from_arrays(list(columns), ["qa_key", "lang_no", "gram", "h"])
+
+    absent = checkpointed(docs.select("text", "lang", key.alias("qa_key")).mapInArrow(of, "qa_key long, lang_no int, gram long, h long").distinct())
+    all_grams, contexts = model.tables
+    asked = absent.select("lang_no", "gram", "h").distinct()
+    log, weight = F.lit(None).cast("double"), F.lit(0.0)
+    for k in range(ORDER, 0, -1):
+        suffix = F.col("gram") if k == ORDER else F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        asked = asked.withColumns({f"g{k}": suffix, f"c{k}": F.shiftrightunsigned(suffix, BITS)})
+        asked = asked.join(all_grams.filter(F.col("k") == k).select("lang_no", F.col("gram").alias(f"g{k}"), F.col("log").alias(f"p{k}")), ["lang_no", f"g{k}"], "left")
+        asked = asked.join(contexts.filter(F.col("k") == k).select("lang_no", F.col("context").alias(f"c{k}"), F.col("log").alias(f"w{k}")), ["lang_no", f"c{k}"], "left")
+        log = F.coalesce(log, weight + F.col(f"p{k}"))
+        weight = weight + F.coalesce(f"w{k}", F.lit(0.0))
+    symbols = F.element_at(F.array(*[F.lit(float(x)) for x in model.symbols]), F.col("lang_no") + 1)
+    found = asked.select("h", F.coalesce(log, weight - F.log2(symbols)).alias("log"))
+    answers = absent.join(found, "h").groupBy("qa_key").agg(F.collect_list(F.struct("h", "log")).alias("qa"))
+    return docs.withColumn("qa_key", key).join(answers, "qa_key", "left").withColumns({"qa_hash": F.col("qa.h"), "qa_log": F.col("qa.log")}).drop("qa_key", "qa")
+
+
 def train(docs: DataFrame) -> KneserNey:
-    """The model of all texts of docs, with bands. For each language and order at most 1 / KEPT n-grams and contexts come to the driver, whatever the corpus."""
+    """The model of all texts of docs, with bands. At most AT_HAND n-grams and contexts come to the driver, whatever the corpus; the model has the others in tables."""
     counts = checkpointed(count_grams(docs))
-    stats = counts.groupBy("lang", "k").agg(F.count("*").alias("kinds"), F.sum("c").alias("total"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()
+    stats = counts.groupBy("lang", "k").agg(F.count("*").alias("kinds"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()
     langs = sorted({r.lang for r in stats}, key=lambda x: (x is not None, x or ""))
     number = {lang: i for i, lang in enumerate(langs)}
     model = KneserNey(langs, [next((r.kinds for r in stats if r.k == 1 and r.lang == lang), 0) + 1 for lang in langs])
-    least = docs.sparkSession.createDataFrame([(r.lang, r.k, number[r.lang], max(1, -int(-r.total * KEPT // 1))) for r in stats], "of_lang string, of_k int, lang_no int, least long")
+    rows = [(r.lang, number[r.lang], r.k, *discounts(r.n1, r.n2, r.n3, r.n4), float(model.symbols[number[r.lang]])) for r in stats]
     # A row for each language and order.
-    known = counts.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("k") == F.col("of_k"))).select("lang_no", "k", "gram", "c", "least")
-    context = F.shiftrightunsigned("gram", BITS)
-    kept = known.filter("c >= least").select("lang_no", "k", "gram", "c").toArrow()
-    totals = known.groupBy("lang_no", "k", context.alias("context")).agg(F.sum("c").alias("total"), F.max("c").alias("most"), F.first("least").alias("least")).filter("most >= least").select("lang_no", "k", "context", "total").toArrow()
-    lang_no, k, gram, c = (kept.column(x).to_numpy() for x in ("lang_no", "k", "gram", "c"))
-    t_lang, t_k, t_context, t_total = (totals.column(x).to_numpy() for x in ("lang_no", "k", "context", "total"))
-    for order in range(1, ORDER + 1):
-        off = np.full((max(1, len(langs)), 3), 0.5)
-        for r in stats:
-            if r.k == order:
-                off[number[r.lang]] = discounts(r.n1, r.n2, r.n3, r.n4)
-        own, of = k == order, t_k == order
-        model.add_order(order, off, lang_no[own], gram[own].view(np.uint64), c[own], t_lang[of], t_context[of].view(np.uint64), t_total[of])
+    off = docs.sparkSession.createDataFrame(rows, "of_lang string, lang_no int, k int, d1 double, d2 double, d3 double, symbols double")
+    numbers = off.select("of_lang", "lang_no").distinct()
+    counts = counts.join(F.broadcast(numbers), F.col("lang").eqNullSafe(F.col("of_lang"))).select("lang_no", "k", "gram", "c")
+    all_grams, contexts = probabilities(counts, off.drop("of_lang"))
+    model.whole = sum(r.kinds for r in stats) + contexts.count() <= AT_HAND
+    if model.whole:
+        model.grams, model.contexts = _sorted(all_grams, "gram"), _sorted(contexts, "context")
+    else:
+        model.tables = all_grams, contexts
+        longest = all_grams.filter(F.col("k") == ORDER)
+        least, most = 1, AT_HAND
+        # The least power of two that few enough counts reach.
+        for r in longest.groupBy(F.floor(F.log2("c")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
+            most -= r.n
+            if most < 0:
+                least = 2 ** (r.power + 1)
+                break
+        model.grams = _sorted(longest.filter(F.col("c") >= least), "gram")
     model.bands = bands(docs, model)
     return model
 
@@ -340,14 +447,14 @@ def judge(docs: DataFrame, model: KneserNey | None = None, below: tuple[float, f
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [f.split(" ")[0] for f in SCHEMA.split(", ")]
     rest = docs.select(*[c for c in docs.columns if c.lower() not in new])
-    names = [*rest.columns, *new]
+    names, n_own = [*rest.columns, *new], len(rest.columns)
     text_at, lang_at = rest.columns.index("text"), rest.columns.index("lang")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kn = shared.value
         for batch in sliced(batches):
             texts, numbers = [t or "" for t in batch.column(text_at).to_pylist()], [kn.number.get(x) for x in batch.column(lang_at).to_pylist()]
-            means, _, sizes = kn.scores([t if no is not None else "" for t, no in zip(texts, numbers, strict=True)], [no or 0 for no in numbers])
+            means, _, sizes = kn.scores([t if no is not None else "" for t, no in zip(texts, numbers, strict=True)], [no or 0 for no in numbers], answers_of(batch))
             rows = []
             for text, no, mean, size in zip(texts, numbers, means.tolist(), sizes.tolist(), strict=True):
                 n, *measures, repeated = base_measures(text)
@@ -360,12 +467,12 @@ def judge(docs: DataFrame, model: KneserNey | None = None, below: tuple[float, f
                 rows.append((n, *measures, repeated, failed, None if no is None else 2.0**-mean, bool(inside and not failed)))
             columns = zip(*rows, strict=True) if rows else [()] * len(new)
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
     fields = StructType(rest.schema.fields.copy())
     for f in SCHEMA.split(", "):
         fields = fields.add(*f.split(" "))
-    return rest.mapInArrow(of, fields)
+    return answered(rest, model, shared).mapInArrow(of, fields)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,6 +329,31 @@ def test_kneser_ney_adds_up(spark, docs):
     assert (np.diff(kn.grams.keys.astype(object)) > 0).all() and (np.diff(kn.contexts.keys.astype(object)) > 0).all()
 
 
+def test_rare_grams_are_in_the_model(spark):
+    # 4-grams that occur once, among a million others; before, they were left out.
+    df = frame(spark, ["ab " * 350_000 + "wxyz", "ab " * 20])
+    kn = quality.train(df)
+    keys, at = np.unique(np.concatenate([quality.grams([r.text])[0] for r in df.collect()]), return_index=True)
+    assert kn.whole and kn.grams.find(quality.gram_hash(np.zeros(len(keys), int), quality.ORDER, keys))[0].all()
+
+
+@pytest.mark.parametrize("at_hand", [0, 3000])
+def test_joined_grams_equal_those_at_hand(spark, docs, monkeypatch, at_hand):
+    odd = spark.createDataFrame([(10**6, "wxyz # ☃☃ qqq " * 30, "en", "a", 1), (10**6 + 1, "word " * 60, None, "a", 1), (10**6 + 2, None, "en", "a", 1), (10**6 + 3, "ñu 中文 " * 40, "unknown", "a", 1)], DOC)
+    some = docs.filter("doc_id % 3 = 0").select(*odd.columns)
+    rows = some.unionAll(odd).unionAll(some.limit(3))
+    whole = quality.train(some)
+    want = sorted(quality.judge(rows, whole).select("doc_id", "perplexity", "kept", "n_words").collect())
+    monkeypatch.setattr(quality, "AT_HAND", at_hand)
+    part = quality.train(some)
+    assert whole.whole and not part.whole and len(part.grams.keys) <= at_hand and part.bands == whole.bands
+    got = quality.judge(rows, part)
+    assert got.columns == [*rows.columns, *(f.split(" ")[0] for f in quality.SCHEMA.split(", "))]
+    got = sorted(got.select("doc_id", "perplexity", "kept", "n_words").collect())
+    assert [(r.doc_id, r.kept, r.n_words) for r in got] == [(r.doc_id, r.kept, r.n_words) for r in want]
+    assert all(a.perplexity == b.perplexity or a.perplexity == pytest.approx(b.perplexity, rel=1e-5) for a, b in zip(got, want, strict=True))
+
+
 def test_perplexity_rejects_what_no_symbol_count_finds(spark, docs):
     rng = random.Random(3)
     noise = " ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) for _ in range(400))
