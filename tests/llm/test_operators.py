@@ -594,6 +594,39 @@ def test_codes_are_distributions():
         assert all(paths[i] == code.size[i] for i in range(n)) and len(first) == n and node.max(initial=1) < 32
 
 
+def test_contexts_predict_all_bits():
+    c, rng = context_mix, np.random.default_rng(5)
+    counts = (1e6 / (np.arange(60_000) + 1)).astype(np.int64) + 20
+    v = c.Vocabulary({b"%d" % w: int(n) for w, n in zip(rng.permutation(len(counts)), counts, strict=True)}, 1000)
+    skewed = c.Code(4 ** np.arange(20), c.BYTE_DEPTH)
+    # Nothing is told by shares alone: each word and byte is a leaf.
+    for code in (v.code, skewed):
+        assert np.abs(code.rest).max() == 0 and code.size.max() > 12
+
+
+def test_weights_move_after_each_few_words():
+    c, rng = context_mix, np.random.default_rng(6)
+    code = c.Code(rng.integers(1, 1000, 500), c.WORD_DEPTH)
+    net = c.Net(code, (10, 10, 10), rng.integers(0, 50, 3 * 2 * 2 ** (10 + c.STOREY)), c.fitted(rng.integers(0, 3, c.STATES**c.K)))
+    symbols, contexts = rng.integers(0, 500, 10 * c.FIRST), rng.integers(0, 2**32, (3, 10 * c.FIRST), dtype=np.uint32)
+    place, text = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    got = net.online_scores(symbols, contexts, text, place)
+    slope, seen, want = np.zeros(3), 0, code.rest[symbols]
+    for i in range(len(symbols)):
+        if i % c.FIRST == 0:
+            move = (slope / (seen + c.OWN_RIDGE)).clip(-0.3, 0.3)
+        for _, _, bit, _, places in net.bits(symbols[i : i + 1], contexts[:, i : i + 1]):
+            states, cell = net.met(bit, places)
+            x = np.stack([net.stretched[s] for s in states])
+            total = net.mixture[cell] + move @ x
+            want[i] += c.log10_of(total).sum()
+            slope, seen = slope + (x / (1 + np.exp(total))).sum(axis=1), seen + len(bit)
+    np.testing.assert_allclose(got, want, atol=1e-4)
+    # Texts side by side don't touch each other.
+    two = net.online_scores(np.tile(symbols, 2), np.tile(contexts, 2), np.repeat([0, 1], len(symbols)), np.tile(place, 2))
+    np.testing.assert_allclose(two, np.tile(got, 2), atol=1e-5)
+
+
 def test_symbols_are_distributions():
     c, rng = context_mix, np.random.default_rng(3)
     code = c.Code(rng.integers(1, 1000, 500), 8)
