@@ -88,6 +88,14 @@ def test_secrets_on_findings_held_out(spark):
     assert n > 300 and right / n > 0.95
 
 
+def test_the_forest_is_trained_once(spark, monkeypatch):
+    df = frame(spark, ["api_key = 'q8Zr2LmX0pTfKw93VbNc5YhD'"])
+    want = [tuple(r) for r in secret_scan.scan(df, secret_scan.train(secret_scan.example_findings(spark))).collect()]
+    assert len(want) == 1 and [tuple(r) for r in secret_scan.scan(df).collect()] == want
+    monkeypatch.setattr(secret_scan, "train", None)  # no more training: before, each scan trained
+    assert [tuple(r) for r in secret_scan.scan(df).collect()] == want
+
+
 def test_secret_spans(spark):
     key = hashlib.sha1(b"x").hexdigest()
     texts = [f'intro words here token = "{key}" and more', f"see commit {key} for it", "nothing", None, "", "z" * 50_000 + f' password: "{key}"']
