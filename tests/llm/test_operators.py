@@ -635,6 +635,33 @@ def test_weights_move_after_each_few_words():
     np.testing.assert_allclose(two, np.tile(got, 2), atol=1e-5)
 
 
+def test_texts_in_bulk_equal_texts_one_by_one(spark):
+    c = context_mix
+    odd = ["", " ", "\n\n", "A. B. C", ". ", "a\x0bb\x1cc\x85d", " x  y", "ÄÖ é. Ünd\r\nmehr " * 5, "x" * 40 + ". " + "x" * 40 + "\n" + "x" * 40, "a\x00b", "😀 Q"]
+    v = c.Vocabulary({b"x": 9, b"\n": 8, b"a": 5, "ÄÖ".encode(): 3, b"mehr": 2}, 4)
+    for texts in (odd, odd[:1], odd[4:5]):
+        got, want = c.Texts(pa.array(["left out", *texts]).slice(1)), [c.Text(t) for t in texts]
+        assert got.words.to_pylist() == [w for t in want for w in t.words]
+        assert (got.n_words.tolist(), got.n_bytes.tolist()) == ([len(t.words) for t in want], [t.n_bytes for t in want])
+        assert got.sizes.tolist() == [n for t in want for n in t.sizes]
+        lines = [(i, line) for i, t in enumerate(want) for line in t.lines]
+        assert list(zip(got.line_text.tolist(), got.line_at.tolist(), got.lines, strict=True)) == [(i, k, line) for k, (i, line) in enumerate(lines) if line]
+        for x, y in zip(v.symbols_of(got), v.symbols(want), strict=False):
+            np.testing.assert_array_equal(x, y)
+    counts = Counter(w for t in odd for w in c.Text(t).words if w != c.END) + Counter(c.line_key(x) for t in odd for x in c.Text(t).lines if x)
+    assert {bytes(r.word): r.n for r in c.word_table(frame(spark, odd)).collect()} == counts
+
+
+def test_symbols_lie_level_by_level():
+    c, rng = context_mix, np.random.default_rng(7)
+    code = c.Code(rng.integers(1, 1000, 500), c.WORD_DEPTH)
+    net = c.Net(code, (10, 10, 10))
+    symbols = rng.integers(0, 500, 3000)
+    met = [len(of) for _, of, *_ in net.bits(symbols, rng.integers(0, 2**32, (3, 3000), dtype=np.uint32))]
+    # Each symbol's bits are all met once, and those of one level by one call.
+    assert met == [int((code.size[symbols] > level).sum()) for level in range(code.size[symbols].max())]
+
+
 def test_symbols_are_distributions():
     c, rng = context_mix, np.random.default_rng(3)
     code = c.Code(rng.integers(1, 1000, 500), 8)
